@@ -46,3 +46,103 @@ extract AS (
 
 def with_catalog(body: str) -> str:
     return "WITH " + CATALOG_CTES.strip() + "\n" + body
+
+
+# Label normalization, categories and identity in DuckDB SQL over ``extract``.
+# RE2 has no lookarounds and ASCII classes; the derived tables are ASCII, so
+# \b \w \d \s mean the same as in Python there. Of the six size facet keys the
+# derived facets carry only netWeight (a string), which is all N5 needs here.
+PROCESSED_CTES = r"""
+,n1 AS (
+  SELECT *, regexp_replace(label, '^\s+|\s+$', '', 'g') AS _t FROM extract),
+n1b AS (
+  SELECT *, regexp_split_to_array(_t, '\s+') AS _w FROM n1),
+n1c AS (
+  SELECT *, list_max(list_filter(list_transform(_w, lambda w, i: CASE WHEN regexp_matches(w, '\d') THEN i END),
+                                 lambda x: x IS NOT NULL)) AS _i FROM n1b),
+n1d AS (
+  SELECT *, CASE WHEN _i > 1 AND coalesce(list_bool_or(list_transform(_w[_i + 1:],
+      lambda w: regexp_matches(regexp_replace(lower(w), '[^a-zA-Z0-9_]', '', 'g'),
+        '^(grams?|gms?|g|kg|kilograms?|kilo|ml|milliliters?|liters?|l|ltrs?|oz|ounces?|lbs?|pounds?|gram|gm)$'))), false)
+    THEN array_to_string(_w[1:_i - 1], ' ') ELSE _t END AS _n1 FROM n1c),
+n2 AS (
+  SELECT *, lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(_n1,
+      '(?i)\s+\d+\s*(g|gm|gms|gram|grams|kg|ml|l|ltr|ltrs|liter|liters|oz|lb|lbs|pound|pounds)\s*$', ''),
+      '(?i)\s+\((box|pack|packet|pouch|bag|tin|can|jar|bottle)\)\s*$', ''),
+      '(?i)\s+(box|pack|packet|pouch|bag|tin|can|jar|bottle)\s*$', ''),
+      '^\s+|\s+$', '', 'g')) AS _n4,
+    regexp_replace(coalesce(json_extract_string(facets_jsonb, '$.netWeight'), ''), '^\s+|\s+$', '', 'g') AS _nw
+  FROM n1d),
+n5 AS (
+  SELECT *, CASE WHEN _nw <> '' AND lower(_nw) NOT IN ('n/a', 'null', 'none')
+                  AND length(regexp_replace(lower(_nw), '[^\w\s]', '', 'g')) > 2
+      THEN replace(replace(_n4, lower(_nw), ' '), regexp_replace(lower(_nw), '[^\w\s]', '', 'g'), ' ')
+      ELSE _n4 END AS _n5 FROM n2),
+n6 AS (
+  SELECT *, CASE WHEN lower(trim(brandLabel)) <> '' AND starts_with(_n5, lower(trim(brandLabel)))
+      THEN regexp_replace(_n5[length(lower(trim(brandLabel))) + 1:], '^\s+|\s+$', '', 'g') ELSE _n5 END AS _n6
+  FROM n5),
+n8 AS (
+  SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+      regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+      regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+      _n6,
+      '\s*[-–—]\s*', ' ', 'g'),
+      '[^\w\s]', ' ', 'g'),
+      '(?i)\b\d+(\.\d+)?\s*(grams?|g|kg|kilograms?|ounces?|oz|lbs?|pounds?)\b', ' ', 'g'),
+      '(?i)\b\d+(\.\d+)?\s*gm\b', ' ', 'g'),
+      '(?i)\b\d+(\.\d+)?\s*GM\b', ' ', 'g'),
+      '(?i)\b\d+(\.\d+)?\s*(ml|milliliters?|liters?|l|fl\.?\s*oz|fluid\s*ounces?)\b', ' ', 'g'),
+      '(?i)\b\d+(\.\d+)?\s*ML\b', ' ', 'g'),
+      '(?i)\b(small|medium|large|xl|xxl|s|m|l)\b', ' ', 'g'),
+      '(?i)\b\d+\s*(inch|inches|cm|centimeters?|mm|millimeters?)\b', ' ', 'g'),
+      '(?i)rs\.?\s*\d+', ' ', 'g'),
+      '(?i)₹\s*\d+', ' ', 'g'),
+      '(?i)\$\s*\d+(\.\d+)?', ' ', 'g'),
+      '(?i)\b(single-use|multi-use|family\s*pack|party\s*pack)\b', ' ', 'g'),
+      '\b\d+\b', ' ', 'g'),
+      '(?i)\b(rs\.?|₹)\s*\d+\b', ' ', 'g'),
+      '(?i)\b\d+%\s*(extra|off|free)\b', ' ', 'g'),
+      '(?i)\b(new|improved|special|premium|original)\b', ' ', 'g'),
+      '(?i)\b(available|now|today|limited|offer)\b', ' ', 'g'),
+      '\s+', ' ', 'g') AS _n10 FROM n6),
+n12 AS (
+  SELECT *, regexp_replace(_n10, '^\s+|\s+$', '', 'g') AS _n11,
+    regexp_replace(regexp_replace(regexp_replace(lower(label), '[^\w\s]', ' ', 'g'), '\s+', ' ', 'g'),
+                   '^\s+|\s+$', '', 'g') AS _fb
+  FROM n8),
+processed AS (
+  SELECT brandSKUId, brandId, brandLabel, label, facets_jsonb, categoryLabel,
+    CASE WHEN length(_n11) < 3 THEN
+      CASE WHEN lower(trim(brandLabel)) <> '' AND starts_with(_fb, lower(trim(brandLabel)) || ' ')
+        THEN regexp_replace(_fb[length(lower(trim(brandLabel))) + 1:], '^\s+|\s+$', '', 'g') ELSE _fb END
+    ELSE _n11 END AS normalized_name,
+    _cats AS cats,
+    coalesce(json_extract_string(facets_jsonb, '$.brandName'), brandLabel) AS brand_extracted
+  FROM (SELECT *,
+      CASE WHEN coalesce(categoryLabel, '') = '' THEN ['general']
+           WHEN len(list_filter(list_transform(_parts, lambda x: trim(x)), lambda x: x <> '' AND lower(x) NOT IN ('n/a', 'null', 'none', 'n', 'a'))) = 0 THEN ['general']
+           ELSE list_filter(list_transform(_parts, lambda x: trim(x)), lambda x: x <> '' AND lower(x) NOT IN ('n/a', 'null', 'none', 'n', 'a')) END AS _cats
+    FROM (SELECT *, CASE WHEN instr(categoryLabel, '/') > 0 THEN string_split(categoryLabel, '/')
+                         WHEN instr(categoryLabel, ',') > 0 THEN string_split(categoryLabel, ',')
+                         WHEN instr(categoryLabel, ';') > 0 THEN string_split(categoryLabel, ';')
+                         WHEN instr(categoryLabel, '|') > 0 THEN string_split(categoryLabel, '|')
+                         ELSE [trim(categoryLabel)] END AS _parts FROM n12) p) q),
+identity AS (
+  SELECT *, cats[1] AS primary_category, array_to_string(cats, ', ') AS categories_parsed,
+    coalesce(nullif(lower(trim(concat_ws(' | ', nullif(trim(normalized_name), ''), nullif(trim(cats[1]), '')))), ''),
+             'unknown product') AS core_identity
+  FROM processed),
+id_groups AS (
+  SELECT brandId, core_identity, count(*) AS n FROM identity GROUP BY brandId, core_identity),
+id_ids AS (
+  SELECT brandId, core_identity, CAST(dense_rank() OVER (PARTITION BY brandId ORDER BY core_identity) - 1 AS INTEGER) AS cid
+  FROM id_groups WHERE n >= 2),
+detailed AS (
+  SELECT i.*, CAST(coalesce(d.cid, -1) AS INTEGER) AS cluster_id
+  FROM identity i LEFT JOIN id_ids d ON i.brandId = d.brandId AND i.core_identity = d.core_identity)
+"""
+
+
+def with_processed(body: str) -> str:
+    return with_catalog(PROCESSED_CTES + body)
