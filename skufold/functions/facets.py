@@ -90,20 +90,19 @@ def size_values(fm: Column, vm: Column) -> Column:
     For each key present and truthy: v = str(value).strip(); skip null-like;
     cleaned = v.lower() without [^\\w\\s]; if len(cleaned) > 2 keep cleaned and
     v.lower(). The reference iterates a set; the order is fixed here as length
-    descending, then alphabetical.
+    descending, then alphabetical. Only the keys a row actually has are
+    examined (one lambda over the present keys, not six copies).
     """
-    pieces = []
-    for key in SIZE_WEIGHT_KEYS:
-        text = F.element_at(fm, F.lit(key))
-        typ = F.schema_of_variant(F.element_at(vm, F.lit(key)))
-        value = rx.strip(py_str(text, typ))
-        low = F.lower(value)
-        cleaned = F.regexp_replace(low, rx.SPECIAL, "")
-        ok = (py_truthy(text, typ) & (value != "") & ~low.isin(*NULL_WORDS)
-              & (F.length(cleaned) > 2))
-        pieces.append(F.when(F.coalesce(ok, F.lit(False)), F.array(cleaned, low))
-                      .otherwise(F.array().cast("array<string>")))
-    vals = F.array_distinct(F.flatten(F.array(*pieces)))
+    keys = F.array(*[F.lit(k) for k in SIZE_WEIGHT_KEYS])
+    present = F.filter(keys, lambda k: F.element_at(fm, k).isNotNull())
+    typed = F.transform(present, lambda k: F.struct(
+        F.element_at(fm, k).alias("t"), F.schema_of_variant(F.element_at(vm, k)).alias("y")))
+    valued = F.transform(F.filter(typed, lambda e: py_truthy(e["t"], e["y"])),
+                         lambda e: F.lower(rx.strip(py_str(e["t"], e["y"]))))
+    kept = F.filter(valued, lambda low: (low != "") & ~low.isin(*NULL_WORDS)
+                    & (F.length(F.regexp_replace(low, rx.SPECIAL, "")) > 2))
+    vals = F.array_distinct(F.flatten(F.transform(
+        kept, lambda low: F.array(F.regexp_replace(low, rx.SPECIAL, ""), low))))
     return F.array_sort(vals, lambda a, b: (
         F.when(F.length(a) > F.length(b), -1).when(F.length(a) < F.length(b), 1)
         .when(a < b, -1).when(a > b, 1).otherwise(0)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import pyregex as rx
@@ -52,12 +52,21 @@ _UNIT_WORD_RE = "^(?:" + "|".join(UNIT_WORDS) + ")$"
 
 
 def trailing_measure_cut(label: Column) -> Column:
-    """Cut at the last word holding a digit when a unit word follows it."""
+    """N1 as one expression (for single-column use); ``add_normalized_name``
+    runs the same rule in stages."""
     t = rx.strip(label)
     words = rx.split_words(t)
-    last_num = F.array_max(F.filter(
+    return _cut(t, words, _last_number(words))
+
+
+def _last_number(words: Column) -> Column:
+    return F.array_max(F.filter(
         F.transform(words, lambda w, i: F.when(w.rlike(rx.DIGIT), i).otherwise(F.lit(-1))),
         lambda i: i >= 0))
+
+
+def _cut(t: Column, words: Column, last_num: Column) -> Column:
+    """Cut at the last word holding a digit when a unit word follows it."""
     rest = F.slice(words, last_num + 2, F.size(words) + 1)
     unit_follows = F.exists(rest, lambda w: F.regexp_replace(F.lower(w), rx.NONWORD, "").rlike(_UNIT_WORD_RE))
     return F.when((last_num > 0) & unit_follows,
@@ -84,15 +93,8 @@ def strip_brand_prefix(name: Column, brand: Column, need_space: bool = False) ->
     return F.when(hit, rx.strip(name.substr(F.length(bc) + 1, F.lit(1 << 30)))).otherwise(name)
 
 
-def normalize_name(label: Column, size_vals: Column, brand: Column) -> Column:
-    """The whole normalization, N1..N12 in order."""
-    n = trailing_measure_cut(label)                                          # N1
-    n = F.regexp_replace(n, py(TRAILING_MEASURE, True), "")                   # N2
-    for p in TRAILING_PACK:                                                  # N3
-        n = F.regexp_replace(n, py(p, True), "")
-    n = rx.strip(F.lower(n))                                                 # N4
-    n = remove_size_values(n, size_vals)                                     # N5
-    n = strip_brand_prefix(n, brand)                                         # N6
+def _middle(n: Column) -> Column:
+    """A straight chain (each step uses the previous once)."""
     n = F.regexp_replace(n, py(DASHES), " ")                                 # N7
     n = F.regexp_replace(n, rx.SPECIAL, " ")
     for p in VARIANT_PATTERNS:                                               # N8
@@ -100,7 +102,49 @@ def normalize_name(label: Column, size_vals: Column, brand: Column) -> Column:
     n = F.regexp_replace(n, py(LONE_NUMBER), " ")                            # N9
     for p in NOISE_PATTERNS:                                                 # N10
         n = F.regexp_replace(n, py(p, True), " ")
-    n = rx.squeeze(n)                                                        # N11
-    fb = rx.squeeze(F.regexp_replace(F.lower(label), rx.SPECIAL, " "))       # N12
-    fb = strip_brand_prefix(fb, brand, need_space=True)
+    return rx.squeeze(n)                                                     # N11
+
+
+def _head(n1: Column) -> Column:
+    """N2-N4."""
+    n = F.regexp_replace(n1, py(TRAILING_MEASURE, True), "")                 # N2
+    for p in TRAILING_PACK:                                                  # N3
+        n = F.regexp_replace(n, py(p, True), "")
+    return rx.strip(F.lower(n))                                              # N4
+
+
+def add_normalized_name(df: DataFrame, label: str, size_vals: str, brand: str,
+                        out: str = "normalized_name") -> DataFrame:
+    """N1..N12 in order, as successive projections.
+
+    Every step reads the previous step's column, so no step's expression is
+    copied into the next (a single nested expression would repeat N1-N5
+    several times through N6 and N12).
+    """
+    lab, br = F.col(label), F.col(brand)
+    d = df.withColumn("_nt", rx.strip(lab))
+    d = d.withColumn("_nw", rx.split_words(F.col("_nt")))
+    d = d.withColumn("_ni", _last_number(F.col("_nw")))
+    d = d.withColumn("_n1", _cut(F.col("_nt"), F.col("_nw"), F.col("_ni")))
+    d = d.withColumn("_n4", _head(F.col("_n1")))
+    d = d.withColumn("_n5", remove_size_values(F.col("_n4"), F.col(size_vals)))
+    d = d.withColumn("_n6", strip_brand_prefix(F.col("_n5"), br))
+    d = d.withColumn("_n11", _middle(F.col("_n6")))
+    d = d.withColumn("_nfb", rx.squeeze(F.regexp_replace(F.lower(lab), rx.SPECIAL, " ")))
+    d = d.withColumn(out, F.when(lab.isNull(), F.lit(None).cast("string"))
+                     .when(F.length(F.col("_n11")) < MIN_LENGTH,
+                           strip_brand_prefix(F.col("_nfb"), br, need_space=True))
+                     .otherwise(F.col("_n11")))
+    return d.drop("_nt", "_nw", "_ni", "_n1", "_n4", "_n5", "_n6", "_n11", "_nfb")
+
+
+def normalize_name(label: Column, size_vals: Column, brand: Column) -> Column:
+    """N13 as a single column expression (small inputs and tests only; the
+    pipeline uses ``add_normalized_name``)."""
+    t = rx.strip(label)
+    words = rx.split_words(t)
+    n = _head(trailing_measure_cut(label))
+    n = strip_brand_prefix(remove_size_values(n, size_vals), brand)
+    n = _middle(n)
+    fb = strip_brand_prefix(rx.squeeze(F.regexp_replace(F.lower(label), rx.SPECIAL, " ")), brand, need_space=True)
     return F.when(F.length(n) < MIN_LENGTH, fb).otherwise(n)

@@ -79,14 +79,28 @@ def _attach_noise(points: DataFrame, assigned: DataFrame) -> DataFrame:
             .select(GROUP, KEY, F.coalesce("cluster_id", F.lit(-1)).cast("int").alias("cluster_id")))
 
 
+def identity_grouped(processed: DataFrame, min_cluster_size: int = 2,
+                     identity: str = "core_identity") -> DataFrame:
+    """Exact grouping, returned as the processed rows plus ``cluster_id``:
+    SKUs of a brand with equal identity strings form a cluster when there are
+    at least ``min_cluster_size`` of them.
+
+    The group count and the join back both need the rows partitioned by
+    (brandId, identity), so the plan shuffles the processed rows once and
+    reuses that exchange.
+    """
+    sizes = processed.groupBy(GROUP, identity).agg(F.count(F.lit(1)).alias("_n"))
+    keep = sizes.filter(F.col("_n") >= min_cluster_size).select(GROUP, identity)
+    ids = keep.withColumn("cluster_id", (F.dense_rank().over(
+        Window.partitionBy(GROUP).orderBy(identity)) - 1).cast("int"))
+    return (processed.join(ids, [GROUP, identity], "left")
+            .withColumn("cluster_id", F.coalesce(F.col("cluster_id"), F.lit(-1)).cast("int")))
+
+
 def identity_clusters(processed: DataFrame, min_cluster_size: int = 2,
                       identity: str = "core_identity") -> DataFrame:
-    """Exact grouping: SKUs of a brand with equal identity strings form a
-    cluster when there are at least ``min_cluster_size`` of them."""
-    sizes = processed.groupBy(GROUP, identity).agg(F.count(F.lit(1)).alias("_n"))
-    keep = sizes.filter(F.col("_n") >= min_cluster_size).select(GROUP, F.col(identity).alias("root"))
-    members = processed.select(GROUP, KEY, F.col(identity).alias("root")).join(keep, [GROUP, "root"])
-    return _attach_noise(processed, number_clusters(members))
+    """Exact grouping as an assignment (brandId, brandSKUId, cluster_id)."""
+    return identity_grouped(processed, min_cluster_size, identity).select(GROUP, KEY, "cluster_id")
 
 
 def density_clusters(points: DataFrame, params: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import categories as cat
 from ..functions import facets as fx
 from ..functions import identity as idn
-from ..functions.normalize import normalize_name
+from ..functions.normalize import add_normalized_name
 
 
 @dataclass(frozen=True)
@@ -37,21 +37,16 @@ def process_products(df: DataFrame, cfg: IdentityConfig = IdentityConfig(),
     lab, fac, catl, br = F.col(label), F.col(facets), F.col(category), F.col(brand)
     if facets not in df.columns:
         df = df.withColumn(facets, F.lit(None).cast("string"))
-    staged = (df
-              .withColumn("_fm", fx.text_map(fac))
-              .withColumn("_fv", fx.variant_map(fac))
-              .withColumn("_fk", F.when(F.col("_fm").isNull() & fac.isNotNull(), fx.json_kind(fac)))
-              .withColumn("_cats", cat.parse_categories(catl)))
+    staged = df.withColumns({"_fm": fx.text_map(fac), "_fv": fx.variant_map(fac),
+                             "_cats": cat.parse_categories(catl)})
+    staged = staged.withColumn("_fk", F.when(F.col("_fm").isNull() & fac.isNotNull(), fx.json_kind(fac)))
     fm, fv = F.col("_fm"), F.col("_fv")
     usable = fx.facets_usable(fm, F.col("_fk"), fac)
     has_facets = F.coalesce(F.size(fm) > 0, F.lit(False))
-    staged = (staged
-              .withColumn("_ok", lab.isNotNull() & usable)
-              .withColumn("_size", F.when(F.col("_ok"), fx.size_values(fm, fv))
-                          .otherwise(F.array().cast("array<string>"))))
-    staged = staged.withColumn(
-        "normalized_name",
-        F.when(lab.isNotNull(), normalize_name(lab, F.col("_size"), br)))
+    staged = staged.withColumn("_ok", lab.isNotNull() & usable)
+    staged = staged.withColumn("_size", F.when(F.col("_ok"), fx.size_values(fm, fv))
+                               .otherwise(F.array().cast("array<string>")))
+    staged = add_normalized_name(staged, label, "_size", brand)
     ok = F.col("_ok")
     name, cats = F.col("normalized_name"), F.col("_cats")
     primary = cat.primary_category(cats)
@@ -64,10 +59,10 @@ def process_products(df: DataFrame, cfg: IdentityConfig = IdentityConfig(),
         raw = fx.facets_identity_raw(fm, fv, catl, cats)
         core = F.when(has_facets, idn.facets_identity(raw, cfg.phonetic)).otherwise(core)
     core = F.when(ok, core).otherwise(idn.fallback_identity(name, catl, cfg.use_facets))
-    out = (staged
-           .withColumn("core_identity", core)
-           .withColumn("brand_extracted", brand_x)
-           .withColumn("categories_parsed", cat.categories_parsed(cats))
-           .withColumn("primary_category", primary)
-           .withColumn("row_status", F.when(ok, F.lit("ok")).otherwise(F.lit("fallback"))))
+    out = staged.withColumns({
+        "core_identity": core,
+        "brand_extracted": brand_x,
+        "categories_parsed": cat.categories_parsed(cats),
+        "primary_category": primary,
+        "row_status": F.when(ok, F.lit("ok")).otherwise(F.lit("fallback"))})
     return out.drop("_fm", "_fv", "_fk", "_cats", "_ok", "_size")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..operators import results as res
 from ..operators.batching import assign_batches
-from ..operators.cluster import ClusterConfig, cluster_products, identity_clusters
+from ..operators.cluster import ClusterConfig, cluster_products, identity_grouped
 from ..operators.embed import embed
 from ..operators.extract import brand_rollup, catalog_extract
 from ..operators.prepare import IdentityConfig, process_products
@@ -40,8 +40,7 @@ def processed(spark: SparkSession, sf_dir: str, cfg: IdentityConfig = IdentityCo
 
 def identity_detailed(spark: SparkSession, sf_dir: str, cfg: IdentityConfig = IdentityConfig()) -> DataFrame:
     """Processed rows clustered by exact identity (the minimum slice)."""
-    p = processed(spark, sf_dir, cfg)
-    return res.assign_clusters(p, identity_clusters(p))
+    return identity_grouped(processed(spark, sf_dir, cfg))
 
 
 def embedding_points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +61,7 @@ def catalog_run(spark: SparkSession, sf_dir: str, cfg: RunConfig = RunConfig())
     """E1 without sinks: detailed rows (processed + cluster_id + batch_number)."""
     cat = derive_catalog(spark, sf_dir)
     batches = assign_batches(brand_rollup(cat), cfg.batch_size).select("brandId", "batch_number")
-    p = process_products(catalog_extract(cat, exclude_test=True), cfg.identity)
+    p = process_products(catalog_extract(cat, exclude_test=True), cfg.identity).checkpoint()
     pts = embed(p, cfg.encoder)
     assigned = cluster_products(pts.select("brandId", "brandSKUId", "embedding"), cfg.cluster)
     return res.assign_clusters(p, assigned).join(batches, "brandId", "left")

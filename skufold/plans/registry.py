@@ -193,19 +193,21 @@ def f3(spark, d):
 
 @query("F6_facets_identity", with_processed("""
 , fx AS (
-  SELECT brandSKUId, cats, categoryLabel, facets_jsonb AS f, json_keys(facets_jsonb) AS ks FROM identity),
+  SELECT brandSKUId, cats, categoryLabel,
+    list_transform(json_keys(facets_jsonb), lambda k: {'k': k, 'v': json_extract(facets_jsonb, '$."' || k || '"')}) AS kv
+  FROM identity),
 parts AS (
-  SELECT brandSKUId, cats, categoryLabel, list_filter(list_transform(ks, lambda k:
-    CASE json_type(f, '$."' || k || '"')
-      WHEN 'VARCHAR' THEN CASE WHEN trim(json_extract_string(f, '$."' || k || '"')) <> ''
-             AND lower(trim(json_extract_string(f, '$."' || k || '"'))) NOT IN ('n/a', 'null', 'none')
-           THEN k || ':' || regexp_replace(trim(json_extract_string(f, '$."' || k || '"')), '^[❌✅]\\s*', '') END
-      WHEN 'ARRAY' THEN CASE WHEN len(list_filter(list_transform(json_extract_string(f, '$."' || k || '"[*]'),
-               lambda v: regexp_replace(trim(v), '^[❌✅]\\s*', '')), lambda v: v <> '' AND lower(v) NOT IN ('n/a', 'null', 'none'))) > 0
-           THEN k || ':' || array_to_string(list_filter(list_transform(json_extract_string(f, '$."' || k || '"[*]'),
-               lambda v: regexp_replace(trim(v), '^[❌✅]\\s*', '')), lambda v: v <> '' AND lower(v) NOT IN ('n/a', 'null', 'none')), ' ') END
-      WHEN 'BIGINT' THEN k || ':' || json_extract_string(f, '$."' || k || '"')
-      WHEN 'DOUBLE' THEN k || ':' || json_extract_string(f, '$."' || k || '"')
+  SELECT brandSKUId, cats, categoryLabel, list_filter(list_transform(kv, lambda e:
+    CASE json_type(e.v)
+      WHEN 'VARCHAR' THEN CASE WHEN trim(json_extract_string(e.v, '$')) <> ''
+             AND lower(trim(json_extract_string(e.v, '$'))) NOT IN ('n/a', 'null', 'none')
+           THEN e.k || ':' || regexp_replace(trim(json_extract_string(e.v, '$')), '^[❌✅]\\s*', '') END
+      WHEN 'ARRAY' THEN CASE WHEN len(list_filter(list_transform(CAST(json_extract_string(e.v, '$[*]') AS VARCHAR[]),
+               lambda x: regexp_replace(trim(x), '^[❌✅]\\s*', '')), lambda x: x <> '' AND lower(x) NOT IN ('n/a', 'null', 'none'))) > 0
+           THEN e.k || ':' || array_to_string(list_filter(list_transform(CAST(json_extract_string(e.v, '$[*]') AS VARCHAR[]),
+               lambda x: regexp_replace(trim(x), '^[❌✅]\\s*', '')), lambda x: x <> '' AND lower(x) NOT IN ('n/a', 'null', 'none')), ' ') END
+      WHEN 'BIGINT' THEN e.k || ':' || json_extract_string(e.v, '$')
+      WHEN 'DOUBLE' THEN e.k || ':' || json_extract_string(e.v, '$')
     END), lambda x: x IS NOT NULL) AS ps
   FROM fx)
 SELECT brandSKUId, coalesce(nullif(lower(trim(array_to_string(
@@ -625,8 +627,8 @@ def b6(spark, d):
     master = _det(spark, d).select(*cols)
     first = _batches(spark, d).filter("batch_number = 1").select("brandId")
     newp = flows.processed(spark, d, IdentityConfig(simple_identity=True)).join(first, "brandId", "left_semi")
-    from ..operators.cluster import identity_clusters
-    new = res.assign_clusters(newp, identity_clusters(newp)).select(*cols)
+    from ..operators.cluster import identity_grouped
+    new = identity_grouped(newp).select(*cols)
     return bt.upsert_by_brand(master, new)
 
 
