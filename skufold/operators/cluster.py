@@ -29,6 +29,7 @@ LARGE_MIN_SAMPLES = 3
 KMEANS_BRAND = 2000         # > : k-means
 KMEANS_K_DIVISOR, KMEANS_K_MIN, KMEANS_K_MAX = 20, 10, 100
 KMEANS_SEED, KMEANS_N_INIT = 42, 10
+CHECKPOINT_EVERY = 5
 
 
 @dataclass(frozen=True)
@@ -172,15 +173,22 @@ def kmeans_clusters(points: DataFrame, params: DataFrame, cfg: ClusterConfig = C
                 .select(GROUP, KEY, "v", F.col("x.start").alias("start"),
                         F.col("x.b.cid").alias("cid"), F.col("x.b.d").alias("d")))
 
-    for _ in range(int(cfg.kmeans_max_iter)):
+    prev = None
+    for it in range(int(cfg.kmeans_max_iter)):
         a = assign(cents)
         means = (a.groupBy(GROUP, "start", "cid")
                  .agg(Summarizer.mean(array_to_vector("v")).alias("_m"))
                  .select(GROUP, "start", "cid", vector_to_array("_m").alias("nc")))
         new = (cents.join(means, [GROUP, "start", "cid"], "left")
                .select(GROUP, "start", "cid", "c", F.coalesce("nc", "c").alias("nc")))
-        new = new.checkpoint()
+        # The centroid table is small (<= n_init * 100 rows per brand): keep it
+        # cached between iterations and cut its lineage with a reliable
+        # checkpoint every few iterations.
+        new = new.checkpoint() if (it + 1) % CHECKPOINT_EVERY == 0 else new.cache()
         shift = new.select(F.max(euclidean(F.col("c"), F.col("nc"))).alias("m")).first()["m"]
+        if prev is not None:
+            prev.unpersist()
+        prev = new
         cents = new.select(GROUP, "start", "cid", F.col("nc").alias("c"))
         if shift is None or shift <= cfg.kmeans_tol:
             break

@@ -4,9 +4,10 @@ Min-label propagation with pointer jumping: every round each vertex takes the
 smallest label among itself and its neighbours, then jumps to its label's
 label. Labels only decrease and stay inside the component, so at the fixed
 point every vertex holds the smallest vertex id of its component. Rounds are
-O(log n) on typical graphs. Each round's labels are written with the reliable
-``checkpoint()`` (the cluster's shared ``spark.checkpoint.dir``), so lineage
-stays short and a lost executor recomputes one round, not the whole loop.
+O(log n) on typical graphs. Labels are cached between rounds and written with
+the reliable ``checkpoint()`` (the cluster's shared ``spark.checkpoint.dir``)
+every few rounds, so lineage stays short and a lost executor recomputes at
+most a few rounds, not the whole loop.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from ..session import ensure_checkpoint_dir
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst",
-                         max_rounds: int = 100) -> DataFrame:
+                         max_rounds: int = 100, checkpoint_every: int = 3) -> DataFrame:
     """edges(src, dst) -> (vertex, component) with component = min vertex id.
 
     Only vertices that appear in an edge are returned.
@@ -29,7 +30,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst",
     both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct().checkpoint()
     labels = (both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("l"))
               .withColumnRenamed("u", "x")).checkpoint()
-    for _ in range(max_rounds):
+    prev = None
+    for rnd in range(max_rounds):
         # hook: smallest label among the neighbours
         hooked = (both.join(labels.withColumnRenamed("x", "u"), "u")
                   .groupBy(F.col("v").alias("x")).agg(F.min("l").alias("nl")))
@@ -38,10 +40,13 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst",
         # jump: a vertex takes its label's label
         parent = merged.select(F.col("x").alias("l"), F.col("l").alias("pl"))
         jumped = (merged.join(parent, "l", "left")
-                  .select("x", F.least("l", F.coalesce("pl", "l")).alias("l"))).checkpoint()
+                  .select("x", F.least("l", F.coalesce("pl", "l")).alias("l")))
+        jumped = jumped.checkpoint() if (rnd + 1) % checkpoint_every == 0 else jumped.cache()
         changed = (jumped.alias("n").join(labels.alias("o"), "x")
                    .filter(F.col("n.l") != F.col("o.l")).limit(1).count())
-        labels = jumped
+        if prev is not None:
+            prev.unpersist()
+        prev = labels = jumped
         if changed == 0:
             break
     return labels.select(F.col("x").alias("vertex"), F.col("l").alias("component"))
