@@ -61,6 +61,7 @@ def main():
         t = time.time()
         _drain(fn(spark, sf_dir))
         times[name] = round(time.time() - t, 3)
+        print(f"[bench] {name}: {times[name]}s", file=sys.stderr, flush=True)
     n_products = flows.products(spark, sf_dir).count()
     total = round(sum(times.values()), 3)
     print(json.dumps({"metric": "headline_total", "value": total, "unit": "sec", "queries": times,

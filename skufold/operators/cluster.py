@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 from ..session import ensure_checkpoint_dir
 from .components import connected_components
 from .neighbors import core_distances, eps_pairs, mutual_reachability_edges
-from .sizing import broadcast_if_small
+from .sizing import broadcast_if_small, cpu_partitions
 from .vectors import euclidean
 
 GROUP, KEY, VEC = "brandId", "brandSKUId", "embedding"
@@ -40,10 +40,10 @@ class ClusterConfig:
     adaptive: bool = True
     force_kmeans: bool = False
     kmeans_n_init: int = KMEANS_N_INIT
-    kmeans_max_iter: int = 30
+    kmeans_max_iter: int = 20
     kmeans_tol: float = 1e-6
     kmeans_seed: int = KMEANS_SEED
-    rows_per_salt: int = 20000
+    rows_per_salt: int = 2000
 
 
 def adaptive_params(points: DataFrame, cfg: ClusterConfig) -> DataFrame:
@@ -114,6 +114,10 @@ def density_clusters(points: DataFrame, params: DataFrame) -> DataFrame:
     prm = broadcast_if_small(params.select(GROUP, "_eps", "_metric", "_ms", "_mcs"), "brand params")
     pts = points.select(GROUP, KEY, VEC).join(prm.select(GROUP, "_eps", "_metric"), GROUP)
     pairs = eps_pairs(pts, 0.0, GROUP, KEY, VEC).join(prm.select(GROUP, "_eps", "_ms"), GROUP)
+    # The pair set feeds core distances, the reachability filter and the
+    # components: compute it once (cache) and write it to the shared
+    # checkpoint folder, which also cuts the lineage of the loop that follows.
+    pairs = pairs.cache().checkpoint()
     need_cores = params.filter(F.col("_ms") > 1).limit(1).count() > 0
     cores = core_distances(pairs, group=GROUP) if need_cores else None
     edges = mutual_reachability_edges(pairs, cores, group=GROUP)
@@ -150,13 +154,19 @@ def kmeans_clusters(points: DataFrame, params: DataFrame, cfg: ClusterConfig = C
            .join(prm_b, GROUP)
            .withColumn("_salt", F.pmod(F.xxhash64(F.col(KEY).cast("string")), F.col("_salts")).cast("int"))
            .select(GROUP, "_salt", KEY, "v", "k")
-           .repartition(GROUP, "_salt")
+           .repartition(cpu_partitions(spark), GROUP, "_salt")
            .checkpoint())
     starts = F.sequence(F.lit(0), F.lit(n_init - 1))
-    cand = (pts.select(GROUP, KEY, "v", "k", F.explode(starts).alias("start"))
+    # Initial centroids: per (brand, start) the k points with the smallest
+    # seeded hash. Exact two-stage top-k: first within each (brand, start,
+    # salt), then over the <= salts * k survivors, so no task ever ranks a
+    # whole large brand.
+    cand = (pts.select(GROUP, "_salt", KEY, "v", "k", F.explode(starts).alias("start"))
             .withColumn("_h", F.xxhash64(F.col(KEY).cast("string"), F.col("start"), F.lit(cfg.kmeans_seed))))
-    w = Window.partitionBy(GROUP, "start").orderBy("_h", KEY)
-    cents = (cand.withColumn("cid", F.row_number().over(w) - 1).filter(F.col("cid") < F.col("k"))
+    w1 = Window.partitionBy(GROUP, "start", "_salt").orderBy("_h", KEY)
+    local = cand.withColumn("_r", F.row_number().over(w1)).filter(F.col("_r") <= F.col("k")).drop("_r")
+    w2 = Window.partitionBy(GROUP, "start").orderBy("_h", KEY)
+    cents = (local.withColumn("cid", F.row_number().over(w2) - 1).filter(F.col("cid") < F.col("k"))
              .select(GROUP, "start", F.col("cid").cast("int").alias("cid"), F.col("v").alias("c"))
              .checkpoint())
 
@@ -165,13 +175,15 @@ def kmeans_clusters(points: DataFrame, params: DataFrame, cfg: ClusterConfig = C
         cset = (cset.join(prm_b.select(GROUP, "_salts"), GROUP)
                 .select(GROUP, "cs", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("_salt")))
         joined = pts.join(broadcast_if_small(cset, "centroids"), [GROUP, "_salt"])
+        # Distances to all of the brand's centroids, sorted by (start, d, cid):
+        # computed once per point; the explode over starts happens outside
+        # any lambda, so the sorted array is never re-evaluated per start.
         scored = F.array_sort(F.transform(F.col("cs"), lambda c: F.struct(
             c["start"].alias("s"), euclidean(F.col("v"), c["c"]).alias("d"), c["cid"].alias("cid"))))
-        best = F.transform(starts, lambda s: F.struct(s.alias("start"),
-                                                      F.element_at(scored, s * F.col("k") + 1).alias("b")))
-        return (joined.select(GROUP, KEY, "v", F.explode(best).alias("x"))
-                .select(GROUP, KEY, "v", F.col("x.start").alias("start"),
-                        F.col("x.b.cid").alias("cid"), F.col("x.b.d").alias("d")))
+        per_start = (joined.select(GROUP, KEY, "v", "k", scored.alias("_sc"))
+                     .select(GROUP, KEY, "v", "k", "_sc", F.explode(starts).alias("start")))
+        b = F.element_at(F.col("_sc"), F.col("start") * F.col("k") + 1)
+        return per_start.select(GROUP, KEY, "v", "start", b["cid"].alias("cid"), b["d"].alias("d"))
 
     prev = None
     for it in range(int(cfg.kmeans_max_iter)):

@@ -27,7 +27,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst",
     spark = edges.sparkSession
     ensure_checkpoint_dir(spark)
     e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v"))
-    both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct().checkpoint()
+    both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct().cache().checkpoint()
     labels = (both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("l"))
               .withColumnRenamed("u", "x")).checkpoint()
     prev = None

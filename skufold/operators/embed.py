@@ -25,7 +25,7 @@ def read_embeddings(vectors: DataFrame, key: str = "vec_id", vec: str = "embeddi
     return vectors.select(F.col(key).alias(KEY), F.col(vec).alias("embedding"))
 
 
-def embed(df: DataFrame, encoder="hashed", identity: str = "core_identity", num_features: int = 256,
+def embed(df: DataFrame, encoder="hashed", identity: str = "core_identity", num_features: int = 64,
           vectors: DataFrame | None = None, dim: int | None = None, batch_size: int = 32) -> DataFrame:
     """Add ``embedding`` (array<double|float>) for each row's cleaned identity."""
     df = df.withColumn("_ident", clean_identity(F.col(identity)))
