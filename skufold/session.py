@@ -39,11 +39,17 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     return spark
 
 
+def is_local_master(master: str) -> bool:
+    """True for ``local`` and ``local[...]``; ``local-cluster`` counts as a cluster."""
+    return master == "local" or master.startswith("local[")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder (``spark.checkpoint.dir``).
 
-    On a cluster this setting names shared storage and is used as is. Only when
-    it is unset (local tests) is a fresh local folder set.
+    On a cluster this setting names shared storage and is used as is. When it is
+    unset, a local master (tests) gets a fresh local folder; any other master
+    raises, because checkpoints on one machine's disk are lost with it.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -51,6 +57,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not is_local_master(sc.master):
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="skufold-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
