@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import chat, exact_dedup, mixing, secrets
+from . import chat, exact_dedup, langid, mixing, packing, secrets, simhash, toxicity
 
 Q: dict = {}
 O: dict = {}
@@ -158,3 +158,40 @@ FROM m GROUP BY conv_id
 @query("op5_preference_format", OP5_SQL)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_preferences(*preference_pairs(table(spark, sf_dir, "conversations")))
+
+
+def held_out() -> Column:
+    return F.expr("coalesce(crc32(cast(doc_id AS string)) % 3 = 1, false)")
+
+
+@query("op2_toxicity")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    machine = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, machine).select(
+        "doc_id", held_out().alias("held_out"), "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+@query("op3_language")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.fit(docs)).select(
+        "doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query("op7_simhash")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash.near_groups(simhash.fingerprints(table(spark, sf_dir, "documents")))
+    return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """The public tokenizer's file, which every machine has at the same place."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+@query("op10_packing")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False)
