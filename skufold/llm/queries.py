@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import chat, exact_dedup, langid, mixing, packing, secrets, simhash, toxicity
+from . import chat, exact_dedup, hnsw, langid, lm, mixing, packing, secrets, simhash, toxicity
 
 Q: dict = {}
 O: dict = {}
@@ -195,3 +195,41 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 @query("op10_packing")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False)
+
+
+OP9_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+t AS (SELECT doc_id, unnest(w) AS w2, unnest(range(len(w))) AS i,
+             unnest([NULL::VARCHAR] || w[1:len(w) - 1]) AS w1 FROM d WHERE len(w) > 0),
+u AS (SELECT w2, count(*) AS n FROM t GROUP BY 1), ud AS (SELECT doc_id, w2, count(*) AS n FROM t GROUP BY 1, 2),
+b AS (SELECT w1, w2, count(*) AS n FROM t WHERE w1 IS NOT NULL GROUP BY 1, 2),
+bd AS (SELECT doc_id, w1, w2, count(*) AS n FROM t WHERE w1 IS NOT NULL GROUP BY 1, 2, 3),
+s AS (SELECT count(*) AS n FROM t), sd AS (SELECT doc_id, count(*) AS n FROM t GROUP BY 1),
+x AS (SELECT t.doc_id, t.w1 IS NULL AS first, u.n - ud.n AS c2, coalesce(b.n - bd.n, 0) AS cb,
+             coalesce(u1.n - ud1.n, 0) AS c1, greatest(s.n - sd.n, 1) AS o
+      FROM t JOIN u USING (w2) JOIN ud USING (doc_id, w2) JOIN sd USING (doc_id), s
+      LEFT JOIN b ON b.w1 = t.w1 AND b.w2 = t.w2 LEFT JOIN bd ON bd.doc_id = t.doc_id AND bd.w1 = t.w1 AND bd.w2 = t.w2
+      LEFT JOIN u u1 ON u1.w2 = t.w1 LEFT JOIN ud ud1 ON ud1.doc_id = t.doc_id AND ud1.w2 = t.w1),
+v AS (SELECT doc_id, CASE WHEN cb > 0 THEN ln(cb) - ln(c1)
+                          WHEN c2 > 0 THEN ln(c2) - ln(o) + CASE WHEN first THEN 0 ELSE ln(0.4) END
+                          ELSE -ln(o) + CASE WHEN first THEN 1 ELSE 2 END * ln(0.4) END AS l,
+             CASE WHEN cb > 0 OR first AND c2 > 0 THEN 0 ELSE 1 END AS back, CASE WHEN c2 > 0 THEN 0 ELSE 1 END AS unseen
+      FROM x),
+a AS (SELECT doc_id, count(*) AS n, sum(l) AS l, sum(back) AS back, sum(unseen) AS unseen FROM v GROUP BY 1)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_words, round(coalesce(l, 0), 3) AS logprob, round(l / n, 5) AS score,
+       coalesce(back, 0)::BIGINT AS backoffs, coalesce(unseen, 0)::BIGINT AS unseen
+FROM documents LEFT JOIN a USING (doc_id)
+"""
+
+
+@query("op9_stupid_backoff", OP9_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = lm.lm_scores(table(spark, sf_dir, "documents"))
+    return scores.select("doc_id", "n_words", F.round("logprob", 3).alias("logprob"),
+                         F.round("score", 5).alias("score"), "backoffs", "unseen")
+
+
+@query("op8_hnsw")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return hnsw.nearest(vectors, vectors.filter("vec_id % 50 = 0"), k=5)
