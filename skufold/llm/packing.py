@@ -28,9 +28,11 @@ from pyspark.sql import functions as F
 
 CAPACITY, END_ID = 2048, 1
 #: Longest piece of a rest; windows of one block on average.
-PIECE, BLOCK_WINDOWS = 512, 256
+PIECE, BLOCK_WINDOWS = 512, 128
+#: Ids that a block leaves free per window, so that its first deal mostly fits.
+MARGIN = 28
 #: Characters of remembered words in a task, and of texts encoded at once.
-MEMORY_CHARS, BATCH_CHARS = 1 << 23, 1 << 21
+MEMORY_CHARS, BATCH_CHARS = 12 << 20, 1 << 21
 #: Fixed value: where a byte-level BPE always starts a new word: before a space
 #: that follows something else than white space.
 SEAM = re.compile(r"(?<=\S)(?= )")
@@ -50,19 +52,35 @@ class Encoder:
         self.known: dict[str, bytes] = {}
         self.first: dict[str, bytes] = {}
         self.size = 0
+        vocabulary = self.tokenizer.get_vocab()
+        # a byte-level token has one character for each of its bytes
+        self.bytes_of = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
+        for token, i in vocabulary.items():
+            self.bytes_of[i] = len(token)
 
     def _learn(self, known: dict[str, bytes], words: list[str], lead: str) -> None:
-        found = self.tokenizer.encode_batch([lead + w for w in words], add_special_tokens=False)
-        for w, e in zip(words, found):
+        self.size += sum(map(len, words))
+        if lead and words:
+            # words that begin after a seam do not change each other: one call
+            spaced = [lead + w for w in words]
+            found = self.tokenizer.encode_batch_fast(["".join(spaced)], add_special_tokens=False)[0]
+            ids = np.array(found.ids, dtype="<u4")
+            reach = np.cumsum(self.bytes_of[ids])
+            ends = np.cumsum([len(w.encode()) for w in spaced])
+            at = np.searchsorted(reach, ends)
+            if at[-1] < len(reach) and (reach[at] == ends).all():
+                raw, stops = ids.tobytes(), (4 * (at + 1)).tolist()
+                known.update(zip(words, [raw[s:e] for s, e in zip([0] + stops, stops)]))
+                return
+        for w, e in zip(words, self.tokenizer.encode_batch([lead + w for w in words], add_special_tokens=False)):
             known[w] = array("I", e.ids).tobytes()
-            self.size += len(w)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.size > MEMORY_CHARS:
             self.known, self.first, self.size = {}, {}, 0
         split = [t.split(" ") for t in texts]
         need = {w for parts in split for w in parts[1:]}.difference(self.known)
-        odd = {w for w in need if not w or w.isspace()}
+        odd = {w for w in need if not w or w[0].isspace()}
         self._learn(self.known, list(need - odd), " ")
         # runs of white space are words of their own: cut only at seams
         seamed = {i: SEAM.split(texts[i]) for i, parts in enumerate(split)
@@ -219,8 +237,8 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
                         else:
                             waiting.append(piece)
                             held += length
-                    if held >= BLOCK_WINDOWS * capacity:
-                        yield dealt()
+                        if held >= BLOCK_WINDOWS * (capacity - MARGIN):
+                            yield dealt()
                 if full:
                     yield rows_of(full)
                 at = to
