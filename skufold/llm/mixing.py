@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import WS, row_key, word_count, written
 
 #: Rows of one bucket on average, and the most hex digits that number buckets.
-ROWS_PER_BUCKET = 4096
+ROWS_PER_BUCKET = 512
 MAX_DIGITS = 7
 
 
@@ -32,7 +32,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), ratio
     Sources by code point, null last, take the weights in turn and share
     ``ratio`` of all sizes. With limits r = max_epochs * size / weight in rising
     order, the sources held at their limit are a prefix of that order, so the
-    water level is found with prefix sums instead of repeated rounds. One row per
+    water level is found with prefix sums instead of repeated rounds (one source too
+    many in the prefix lowers the level, so it is the highest that fits). One row per
     source: the two global windows are over that small table only. Empty sources
     get 0; without any word every target is 0.
     """
@@ -48,7 +49,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), ratio
               .withColumn("_all", F.sum("source_size").over(Window.partitionBy())))
     level = (F.lit(float(ratio)) * F.col("_all") - F.coalesce("_held", F.lit(0))) / F.col("_open")
     limits = limits.withColumn("_level", level)
-    free = limits.withColumn("_line", F.min(F.when(F.col("_level") <= F.col("_r"), F.col("_level")))
+    free = limits.withColumn("_line", F.max(F.when(F.col("_level") <= F.col("_r"), F.col("_level")))
                              .over(Window.partitionBy()))
     target = F.when(F.col("_line").isNull(), F.col("_cap").cast("double")).otherwise(
         F.least(F.col("_cap").cast("double"), F.col("_line") * F.col("_w")))

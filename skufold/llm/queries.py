@@ -39,7 +39,7 @@ l AS (SELECT *, cap / weight AS r,
         sum(source_size) OVER () AS total FROM w),
 v AS (SELECT *, (1.5::DOUBLE * total::DOUBLE - held::DOUBLE) / free::DOUBLE AS level FROM l),
 t AS (SELECT source, source_size,
-        coalesce(least(cap::DOUBLE, min(CASE WHEN level <= r THEN level END) OVER () * weight), cap::DOUBLE) AS target
+        coalesce(least(cap::DOUBLE, max(CASE WHEN level <= r THEN level END) OVER () * weight), cap::DOUBLE) AS target
       FROM v),
 p AS (SELECT d.*, sum(size) OVER (PARTITION BY source ORDER BY k, doc_id, size
         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS start FROM d),
