@@ -176,7 +176,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
             value[w] = np.log(others[k - 1][w]) - np.log(others[k - 2][w - 1] if k > 1 else all_other[w])
         value += (most - level) * math.log(alpha)
         by = lambda x: np.bincount(of, weights=x, minlength=texts)
-        total = by(value)
+        total = by(value).astype(float)
         score = [t / m if m else None for t, m in zip(total.tolist(), lens.tolist())]
         return pa.table([left["doc_id"], pa.array(lens.astype(np.int64)), pa.array(total), pa.array(score, pa.float64()),
                          pa.array(by(level < most).astype(np.int64)), pa.array(by(level == 0).astype(np.int64))],

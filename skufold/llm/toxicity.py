@@ -269,6 +269,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     seen = sample.mapInArrow(worst, "worst double, toxic int").toArrow()
     at, label = np.maximum(seen["worst"].to_numpy(), -10), seen["toxic"].to_numpy()
     low = float(np.quantile(at[label == 0], 0.999)) if (label == 0).any() else -1.0
+    low = max(low, machine.bias)  # words of triples that were never seen are harmless
     high = at[(label == 1) & (at > low)]
     high = float(np.quantile(high, 0.1)) if len(high) else low + 1.0
     machine.cut = low + 0.15 * (high - low)
