@@ -99,10 +99,10 @@ def metaphone(word: str) -> str:
             else:
                 out.append("T")
         elif c == "G":
-            if nxt == "H" and not (i + 2 < n and nxt2 not in _VOWELS):
-                pass
-            elif nxt == "H":
-                pass
+            if nxt == "H":  # silent at the end and before a consonant
+                if nxt2 and nxt2 in _VOWELS:
+                    out.append("K")
+                i += 1
             elif nxt == "N" and (i + 2 == n or (nxt2 == "E" and i + 3 < n and w[i + 3] == "D" and i + 4 == n)):
                 pass
             elif nxt in ("I", "E", "Y") and prev != "G":

@@ -68,12 +68,18 @@ def union_batches(*frames: DataFrame) -> DataFrame:
 
 
 def brand_ledger_rows(products: DataFrame, brands: DataFrame, run_id: str) -> DataFrame:
-    """One ledger row per brand of the batch. Row-level errors do not fail
-    a brand (they become fallback rows); a brand with no rows is processed."""
-    per = products.groupBy("brandId").agg(F.count(F.lit(1)).alias("_n"))
+    """One ledger row per brand of the batch. Row-level errors do not fail a
+    brand (they become fallback rows, ``row_status``); a brand of which no row
+    could be processed is failed, with an error text, and others go on. A brand
+    with no rows is processed."""
+    bad = F.sum(F.when(F.col("row_status") != "ok", 1).otherwise(0)) if "row_status" in products.columns else F.lit(0)
+    per = products.groupBy("brandId").agg(F.count(F.lit(1)).alias("_n"), bad.alias("_bad"))
+    failed = F.coalesce((F.col("_n") > 0) & (F.col("_bad") == F.col("_n")), F.lit(False))
     return (brands.select("brandId", "batch_number").join(per, "brandId", "left")
             .select(F.lit(run_id).alias("run_id"), F.col("brandId").cast("string"),
-                    F.lit("processed").alias("status"), F.lit(None).cast("string").alias("error"),
+                    F.when(failed, "failed").otherwise("processed").alias("status"),
+                    F.when(failed, F.concat(F.lit("none of "), F.col("_n").cast("string"),
+                                            F.lit(" rows could be processed"))).alias("error"),
                     F.col("batch_number").cast("int"), F.current_timestamp().alias("ts")))
 
 

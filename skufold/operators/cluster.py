@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 from ..session import ensure_checkpoint_dir
 from .components import connected_components
 from .neighbors import core_distances, eps_pairs, mutual_reachability_edges
-from .sizing import broadcast_if_small, cpu_partitions
+from .sizing import cpu_partitions
 from .vectors import euclidean
 
 GROUP, KEY, VEC = "brandId", "brandSKUId", "embedding"
@@ -29,38 +29,61 @@ LARGE_MIN_SAMPLES = 3
 KMEANS_BRAND = 2000         # > : k-means
 KMEANS_K_DIVISOR, KMEANS_K_MIN, KMEANS_K_MAX = 20, 10, 100
 KMEANS_SEED, KMEANS_N_INIT = 42, 10
-CHECKPOINT_EVERY = 5
 
 
 @dataclass(frozen=True)
 class ClusterConfig:
+    """Method and parameters, the same for brands of any size; nothing switches
+    by size. ``adaptive_params`` reports the sizes the reference recommends."""
+    method: str = "density"            # or "kmeans"
+    metric: str = "euclidean"          # or "manhattan"
     min_cluster_size: int = 2
     min_samples: int = 1
     epsilon: float = 0.1
-    adaptive: bool = True
-    force_kmeans: bool = False
+    k: int | None = None               # k-means clusters per brand; None: the fixed rule
     kmeans_n_init: int = KMEANS_N_INIT
-    kmeans_max_iter: int = 20
+    kmeans_max_iter: int = 300         # not converged by then: an error, never labels
     kmeans_tol: float = 1e-6
     kmeans_seed: int = KMEANS_SEED
     rows_per_salt: int = 2000
 
 
+def k_rule(n: F.Column) -> F.Column:
+    k = F.least(F.greatest(F.floor(n / KMEANS_K_DIVISOR), F.lit(KMEANS_K_MIN)), F.lit(KMEANS_K_MAX))
+    return F.least(k, n).cast("int")
+
+
 def adaptive_params(points: DataFrame, cfg: ClusterConfig) -> DataFrame:
-    """C6 + C7: one row per brand with n, route, _mcs, _ms, _metric, _eps, k."""
+    """C6 + C7: one row per brand with n and the recommended route, _mcs, _ms,
+    _metric, _eps, k. A report; it routes nothing."""
     n = F.col("n")
-    big = (n > LARGE_BRAND) if cfg.adaptive else F.lit(False)
-    route = F.when(F.lit(cfg.force_kmeans) | (n > KMEANS_BRAND), "kmeans").otherwise("density")
-    k = F.least(F.greatest(F.floor(n / KMEANS_K_DIVISOR), F.lit(KMEANS_K_MIN)), F.lit(KMEANS_K_MAX))
+    big = n > LARGE_BRAND
     return (points.groupBy(GROUP).agg(F.count(F.lit(1)).alias("n"))
-            .select(GROUP, "n", route.alias("route"),
+            .select(GROUP, "n", F.when(n > KMEANS_BRAND, "kmeans").otherwise("density").alias("route"),
                     F.when(big, F.greatest(F.lit(cfg.min_cluster_size), F.lit(LARGE_MIN_CLUSTER_SIZE)))
                     .otherwise(F.lit(cfg.min_cluster_size)).alias("_mcs"),
                     F.when(big, F.greatest(F.lit(cfg.min_samples), F.lit(LARGE_MIN_SAMPLES)))
                     .otherwise(F.lit(cfg.min_samples)).alias("_ms"),
-                    F.when(big, F.lit("manhattan")).otherwise(F.lit("euclidean")).alias("_metric"),
-                    F.lit(float(cfg.epsilon)).alias("_eps"),
-                    F.least(k, n).cast("int").alias("k")))
+                    F.when(big, F.lit("manhattan")).otherwise(F.lit(cfg.metric)).alias("_metric"),
+                    F.lit(float(cfg.epsilon)).alias("_eps"), k_rule(n).alias("k")))
+
+
+def brand_ranks(keys: DataFrame, order: str) -> DataFrame:
+    """(brandId, order) distinct rows -> + cluster_id 0.. by order in each brand.
+
+    Range partitions give every brand's keys in order; a row's id is the count in
+    the partitions before its own plus its place there, so a brand with very many
+    clusters is not ranked in one task.
+    """
+    ensure_checkpoint_dir(keys.sparkSession)
+    t = (keys.select(GROUP, order).repartitionByRange(GROUP, order)
+         .withColumn("_p", F.spark_partition_id()).checkpoint())
+    before = Window.partitionBy(GROUP).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (t.groupBy(GROUP, "_p").agg(F.count(F.lit(1)).alias("_c"))
+               .select(GROUP, "_p", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off")))
+    inside = Window.partitionBy(GROUP, "_p").orderBy(order)
+    return (t.join(offsets, [GROUP, "_p"])
+            .select(GROUP, order, (F.col("_off") + F.row_number().over(inside) - 1).cast("int").alias("cluster_id")))
 
 
 def number_clusters(members: DataFrame, root: str = "root") -> DataFrame:
@@ -69,9 +92,7 @@ def number_clusters(members: DataFrame, root: str = "root") -> DataFrame:
     ``members``: (brandId, brandSKUId, root). The rank runs over the cluster
     table (one row per cluster), never over SKU rows.
     """
-    roots = members.select(GROUP, root).distinct()
-    ids = roots.withColumn("cluster_id", (F.dense_rank().over(
-        Window.partitionBy(GROUP).orderBy(root)) - 1).cast("int"))
+    ids = brand_ranks(members.select(GROUP, root).distinct(), root)
     return members.join(ids, [GROUP, root]).select(GROUP, KEY, "cluster_id")
 
 
@@ -86,14 +107,13 @@ def identity_grouped(processed: DataFrame, min_cluster_size: int = 2,
     SKUs of a brand with equal identity strings form a cluster when there are
     at least ``min_cluster_size`` of them.
 
-    The group count and the join back both need the rows partitioned by
-    (brandId, identity), so the plan shuffles the processed rows once and
-    reuses that exchange.
+    The processed rows are written once, so normalization runs once however
+    often they are read.
     """
+    ensure_checkpoint_dir(processed.sparkSession)
+    processed = processed.checkpoint()
     sizes = processed.groupBy(GROUP, identity).agg(F.count(F.lit(1)).alias("_n"))
-    keep = sizes.filter(F.col("_n") >= min_cluster_size).select(GROUP, identity)
-    ids = keep.withColumn("cluster_id", (F.dense_rank().over(
-        Window.partitionBy(GROUP).orderBy(identity)) - 1).cast("int"))
+    ids = brand_ranks(sizes.filter(F.col("_n") >= min_cluster_size), identity)
     return (processed.join(ids, [GROUP, identity], "left")
             .withColumn("cluster_id", F.coalesce(F.col("cluster_id"), F.lit(-1)).cast("int")))
 
@@ -104,42 +124,37 @@ def identity_clusters(processed: DataFrame, min_cluster_size: int = 2,
     return identity_grouped(processed, min_cluster_size, identity).select(GROUP, KEY, "cluster_id")
 
 
-def density_clusters(points: DataFrame, params: DataFrame) -> DataFrame:
+def density_clusters(points: DataFrame, cfg: ClusterConfig = ClusterConfig()) -> DataFrame:
     """C4: flat density cut.
 
     Edges: eps-neighbour pairs whose mutual reachability max(core a, core b, d)
-    is <= eps. Clusters: connected components with >= min_cluster_size SKUs.
-    Everything else is noise.
+    is <= eps. Clusters: connected components, over (brand, SKU) keys, with >=
+    min_cluster_size SKUs. Everything else, SKUs without a vector included, is
+    noise.
     """
-    prm = broadcast_if_small(params.select(GROUP, "_eps", "_metric", "_ms", "_mcs"), "brand params")
-    pts = points.select(GROUP, KEY, VEC).join(prm.select(GROUP, "_eps", "_metric"), GROUP)
-    pairs = eps_pairs(pts, 0.0, GROUP, KEY, VEC).join(prm.select(GROUP, "_eps", "_ms"), GROUP)
-    # The pair set feeds core distances, the reachability filter and the
-    # components: compute it once (cache) and write it to the shared
-    # checkpoint folder, which also cuts the lineage of the loop that follows.
-    pairs = pairs.cache().checkpoint()
-    need_cores = params.filter(F.col("_ms") > 1).limit(1).count() > 0
-    cores = core_distances(pairs, group=GROUP) if need_cores else None
-    edges = mutual_reachability_edges(pairs, cores, group=GROUP)
-    comp = connected_components(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    members = (comp.select(F.col("vertex").alias(KEY), F.col("component").alias("root"))
-               .join(points.select(GROUP, KEY), KEY))
-    sizes = members.groupBy(GROUP, "root").agg(F.count(F.lit(1)).alias("_n"))
-    big = sizes.join(prm.select(GROUP, "_mcs"), GROUP).filter(F.col("_n") >= F.col("_mcs")).select(GROUP, "root")
+    ensure_checkpoint_dir(points.sparkSession)
+    pairs = eps_pairs(points.select(GROUP, KEY, VEC), cfg.epsilon, GROUP, KEY, VEC, cfg.metric).checkpoint()
+    cores = core_distances(pairs, cfg.min_samples, GROUP) if cfg.min_samples > 1 else None
+    edges = mutual_reachability_edges(pairs, cores, cfg.epsilon, GROUP)
+    vertex = lambda c: F.struct(F.col(GROUP).alias("g"), F.col(c).alias("k"))
+    comp = connected_components(edges.select(vertex("a").alias("src"), vertex("b").alias("dst")))
+    members = comp.select(F.col("vertex.g").alias(GROUP), F.col("vertex.k").alias(KEY),
+                          F.col("component.k").alias("root"))
+    big = (members.groupBy(GROUP, "root").agg(F.count(F.lit(1)).alias("_n"))
+           .filter(F.col("_n") >= cfg.min_cluster_size).select(GROUP, "root"))
     return _attach_noise(points, number_clusters(members.join(big, [GROUP, "root"])))
 
 
-def kmeans_clusters(points: DataFrame, params: DataFrame, cfg: ClusterConfig = ClusterConfig()) -> DataFrame:
-    """Grouped Lloyd iterations for all k-means brands at once.
+def kmeans_clusters(points: DataFrame, cfg: ClusterConfig = ClusterConfig()) -> DataFrame:
+    """Grouped Lloyd iterations for all brands at once, to convergence.
 
-    Centroids live in a table keyed (brand, start, cid); each iteration joins
-    them to the points as one row per (brand, salt) holding the brand's
-    centroid array (at most n_init * 100 vectors), assigns every point for
-    every start in JVM expressions, and averages per (brand, start, cid) with
-    a partial aggregation. Large brands are split over ``ceil(n /
-    rows_per_salt)`` salts so one brand never lands in one task. The best start
-    per brand (lowest inertia) gives the labels. Not bit-equal to
-    scikit-learn's k-means++ runs; every point gets a cluster, no noise.
+    Centroids live in a table keyed (brand, start, cid). Each iteration hands
+    every (brand, start, salt) its centroid array, takes the nearest one per point
+    and start in JVM expressions, and averages per (brand, start, cid) with a
+    partial aggregation. Large brands are split over ``ceil(n / rows_per_salt)``
+    salts. The best start per brand (lowest inertia) gives the labels. Centroids
+    that still move after ``kmeans_max_iter`` rounds raise an error. SKUs without a
+    vector get -1. Not bit-equal to scikit-learn's k-means++ runs.
     """
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.stat import Summarizer
@@ -147,15 +162,15 @@ def kmeans_clusters(points: DataFrame, params: DataFrame, cfg: ClusterConfig = C
     spark = points.sparkSession
     ensure_checkpoint_dir(spark)
     n_init = int(cfg.kmeans_n_init)
-    prm = params.select(GROUP, "k", "n", F.greatest(F.lit(1), F.ceil(F.col("n") / cfg.rows_per_salt))
-                        .cast("int").alias("_salts"))
-    prm_b = broadcast_if_small(prm, "kmeans params")
-    pts = (points.select(GROUP, KEY, F.col(VEC).cast("array<double>").alias("v"))
-           .join(prm_b, GROUP)
+    usable = points.filter(F.col(VEC).isNotNull())
+    n = F.col("n")
+    prm = usable.groupBy(GROUP).agg(F.count(F.lit(1)).alias("n")).select(
+        GROUP, (k_rule(n) if cfg.k is None else F.least(F.lit(int(cfg.k)), n).cast("int")).alias("k"),
+        F.greatest(F.lit(1), F.ceil(n / cfg.rows_per_salt)).cast("int").alias("_salts"))
+    pts = (usable.select(GROUP, KEY, F.col(VEC).cast("array<double>").alias("v")).join(prm, GROUP)
            .withColumn("_salt", F.pmod(F.xxhash64(F.col(KEY).cast("string")), F.col("_salts")).cast("int"))
            .select(GROUP, "_salt", KEY, "v", "k")
-           .repartition(cpu_partitions(spark), GROUP, "_salt")
-           .checkpoint())
+           .repartition(cpu_partitions(spark), GROUP, "_salt", KEY).checkpoint())
     starts = F.sequence(F.lit(0), F.lit(n_init - 1))
     # Initial centroids: per (brand, start) the k points with the smallest
     # seeded hash. Exact two-stage top-k: first within each (brand, start,
@@ -171,66 +186,40 @@ def kmeans_clusters(points: DataFrame, params: DataFrame, cfg: ClusterConfig = C
              .checkpoint())
 
     def assign(cents: DataFrame) -> DataFrame:
-        cset = cents.groupBy(GROUP).agg(F.collect_list(F.struct("start", "cid", "c")).alias("cs"))
-        cset = (cset.join(prm_b.select(GROUP, "_salts"), GROUP)
-                .select(GROUP, "cs", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("_salt")))
-        joined = pts.join(broadcast_if_small(cset, "centroids"), [GROUP, "_salt"])
-        # Distances to all of the brand's centroids, sorted by (start, d, cid):
-        # computed once per point; the explode over starts happens outside
-        # any lambda, so the sorted array is never re-evaluated per start.
-        scored = F.array_sort(F.transform(F.col("cs"), lambda c: F.struct(
-            c["start"].alias("s"), euclidean(F.col("v"), c["c"]).alias("d"), c["cid"].alias("cid"))))
-        per_start = (joined.select(GROUP, KEY, "v", "k", scored.alias("_sc"))
-                     .select(GROUP, KEY, "v", "k", "_sc", F.explode(starts).alias("start")))
-        b = F.element_at(F.col("_sc"), F.col("start") * F.col("k") + 1)
-        return per_start.select(GROUP, KEY, "v", "start", b["cid"].alias("cid"), b["d"].alias("d"))
-
-    prev = None
-    for it in range(int(cfg.kmeans_max_iter)):
-        a = assign(cents)
-        means = (a.groupBy(GROUP, "start", "cid")
+        cset = (cents.groupBy(GROUP, "start").agg(F.collect_list(F.struct("cid", "c")).alias("cs"))
+                .join(prm.select(GROUP, "_salts"), GROUP)
+                .select(GROUP, "start", "cs", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("_salt")))
+        nearest = F.array_min(F.transform(F.col("cs"), lambda c: F.struct(
+            euclidean(F.col("v"), c["c"]).alias("d"), c["cid"].alias("cid"))))
+        return (pts.join(cset, [GROUP, "_salt"]).select(GROUP, KEY, "v", "start", nearest.alias("b"))
+                .select(GROUP, KEY, "v", "start", "b.cid", "b.d"))
+
+    for _ in range(int(cfg.kmeans_max_iter)):
+        means = (assign(cents).groupBy(GROUP, "start", "cid")
                  .agg(Summarizer.mean(array_to_vector("v")).alias("_m"))
                  .select(GROUP, "start", "cid", vector_to_array("_m").alias("nc")))
         new = (cents.join(means, [GROUP, "start", "cid"], "left")
-               .select(GROUP, "start", "cid", "c", F.coalesce("nc", "c").alias("nc")))
-        # The centroid table is small (<= n_init * 100 rows per brand): keep it
-        # cached between iterations and cut its lineage with a reliable
-        # checkpoint every few iterations.
-        new = new.checkpoint() if (it + 1) % CHECKPOINT_EVERY == 0 else new.cache()
+               .select(GROUP, "start", "cid", "c", F.coalesce("nc", "c").alias("nc")).checkpoint())
         shift = new.select(F.max(euclidean(F.col("c"), F.col("nc"))).alias("m")).first()["m"]
-        if prev is not None:
-            prev.unpersist()
-        prev = new
         cents = new.select(GROUP, "start", "cid", F.col("nc").alias("c"))
         if shift is None or shift <= cfg.kmeans_tol:
             break
+    else:
+        raise RuntimeError(f"k-means still moves after {cfg.kmeans_max_iter} rounds: raise kmeans_max_iter or kmeans_tol")
     final = assign(cents)
     inertia = final.groupBy(GROUP, "start").agg(F.sum(F.col("d") * F.col("d")).alias("_in"))
     best = inertia.groupBy(GROUP).agg(F.min_by("start", F.struct("_in", "start")).alias("start"))
-    return (final.join(broadcast_if_small(best, "best start"), [GROUP, "start"])
-            .select(GROUP, KEY, F.col("cid").cast("int").alias("cluster_id")))
+    labels = (final.join(best, [GROUP, "start"])
+              .select(GROUP, KEY, F.col("cid").cast("int").alias("cluster_id")))
+    return _attach_noise(points, labels)
 
 
 def cluster_products(points: DataFrame, cfg: ClusterConfig = ClusterConfig()) -> DataFrame:
-    """C6/C7 route: density cut for brands up to 2000 SKUs, k-means above
-    (or for all when forced); the two branches are unioned."""
-    params = adaptive_params(points, cfg).checkpoint()
-    prm_b = broadcast_if_small(params, "brand params")
-    dens_p = params.filter(F.col("route") == "density")
-    km_p = params.filter(F.col("route") == "kmeans")
-    dens_pts = points.join(prm_b.filter(F.col("route") == "density").select(GROUP), GROUP, "left_semi")
-    km_pts = points.join(prm_b.filter(F.col("route") == "kmeans").select(GROUP), GROUP, "left_semi")
-    out = []
-    if dens_p.limit(1).count() > 0:
-        out.append(density_clusters(dens_pts, dens_p))
-    if km_p.limit(1).count() > 0:
-        out.append(kmeans_clusters(km_pts, km_p, cfg))
-    if not out:
-        return points.select(GROUP, KEY, F.lit(-1).alias("cluster_id")).limit(0)
-    res = out[0]
-    for o in out[1:]:
-        res = res.unionByName(o)
-    return res
+    """Cluster every brand by the method the caller names."""
+    methods = {"density": density_clusters, "kmeans": kmeans_clusters}
+    if cfg.method not in methods:
+        raise ValueError(f"unknown method {cfg.method!r}")
+    return methods[cfg.method](points, cfg)
 
 
 def clustering_stats(assigned: DataFrame) -> DataFrame:

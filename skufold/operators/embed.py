@@ -1,11 +1,14 @@
 """Identity -> vector.
 
 Encoders:
-  ``precomputed`` join vectors supplied by the caller on the SKU id (S7)
-  ``hashed``      Spark ML: RegexTokenizer -> HashingTF -> IDF -> Normalizer
-                  (offline, JVM-side; the IDF fit is one distributed aggregate)
-  callable        any user model through ``predict_batch_udf`` (Arrow batches
-                  of 32 rows, like the reference's encode batch size)
+  ``precomputed`` join vectors supplied by the caller on the SKU id (S7); every
+                  row stays, ``embedding_status`` says whether it has a vector
+  ``hashed``      Spark ML: RegexTokenizer -> HashingTF -> Normalizer (offline,
+                  JVM-side; nothing is fitted, so a brand gets the same vectors
+                  whatever else is in the run)
+  callable        a factory, called once per Python worker, that returns the
+                  function from a batch of texts to vectors
+                  (``predict_batch_udf``, Arrow batches of 32 rows)
 """
 
 from __future__ import annotations
@@ -25,34 +28,32 @@ def read_embeddings(vectors: DataFrame, key: str = "vec_id", vec: str = "embeddi
     return vectors.select(F.col(key).alias(KEY), F.col(vec).alias("embedding"))
 
 
-def embed(df: DataFrame, encoder="hashed", identity: str = "core_identity", num_features: int = 64,
+def embed(df: DataFrame, encoder="hashed", identity: str = "core_identity", num_features: int = 384,
           vectors: DataFrame | None = None, dim: int | None = None, batch_size: int = 32) -> DataFrame:
     """Add ``embedding`` (array<double|float>) for each row's cleaned identity."""
     df = df.withColumn("_ident", clean_identity(F.col(identity)))
     if encoder == "precomputed":
         if vectors is None:
             raise ValueError("encoder='precomputed' needs a vectors DataFrame")
-        return df.join(vectors.select(KEY, "embedding"), KEY).drop("_ident")
+        out = df.join(vectors.select(KEY, "embedding"), KEY, "left").drop("_ident")
+        return out.withColumn("embedding_status", F.when(F.col("embedding").isNull(), "missing").otherwise("ok"))
     if encoder == "hashed":
         from pyspark.ml import Pipeline
-        from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
+        from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer
         from pyspark.ml.functions import vector_to_array
         pipe = Pipeline(stages=[
             RegexTokenizer(inputCol="_ident", outputCol="_tok", pattern="[^\\p{L}\\p{N}_]+"),
             HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=num_features),
-            IDF(inputCol="_tf", outputCol="_idf"),
-            Normalizer(inputCol="_idf", outputCol="_vec", p=2.0)])
+            Normalizer(inputCol="_tf", outputCol="_vec", p=2.0)])
         model = pipe.fit(df.select("_ident"))
         out = model.transform(df)
         return (out.withColumn("embedding", vector_to_array("_vec"))
-                .drop("_ident", "_tok", "_tf", "_idf", "_vec"))
+                .drop("_ident", "_tok", "_tf", "_vec"))
     if callable(encoder):
         from pyspark.ml.functions import predict_batch_udf
         from pyspark.sql.types import ArrayType, FloatType
 
-        def make() -> Callable:
-            return encoder
-
+        make: Callable = encoder
         udf = predict_batch_udf(make, return_type=ArrayType(FloatType()), batch_size=batch_size,
                                 input_tensor_shapes=None)
         return df.withColumn("embedding", udf(F.col("_ident"))).drop("_ident")

@@ -2,7 +2,7 @@
 
 Shape of the plan: the SKU table is the only large input. ``brand`` and
 ``category`` are dimension tables (one row per brand / category); they are
-broadcast only behind a size check (``broadcast_if_small``), otherwise joined
+broadcast when the planner finds them small, otherwise joined
 by shuffle. The seller link is a semi-join (it only proves existence, so it
 never multiplies rows), exclusions are anti-joins, and the one-category pick is
 an aggregate (``min_by``) that combines map-side instead of a window sort.
@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.catalog import Catalog
-from .sizing import broadcast_if_small
 
 EXTRACT_COLUMNS = ["brandSKUId", "brandId", "brandLabel", "label", "facets_jsonb", "categoryLabel"]
 
@@ -36,7 +35,7 @@ def exclude_test_brands(brand: DataFrame) -> DataFrame:
 
 def linked_brands_only(df: DataFrame, seller_brand: DataFrame) -> DataFrame:
     """Keep brands with a seller link; a semi-join never duplicates rows."""
-    return df.join(seller_brand.select("brandId"), "brandId", "left_semi")
+    return df.join(seller_brand.select("brandId").distinct(), "brandId", "left_semi")
 
 
 def exclude_ids(df: DataFrame, ids: DataFrame | None, col: str = "brandId") -> DataFrame:
@@ -45,7 +44,7 @@ def exclude_ids(df: DataFrame, ids: DataFrame | None, col: str = "brandId") -> D
         return df
     key = ids.columns[0]
     ids = ids.select(F.col(key).cast("string").alias("_xid")).filter(F.col("_xid").isNotNull())
-    return df.join(broadcast_if_small(ids.distinct(), "exclusion ids"),
+    return df.join(ids.distinct(),
                    F.col(col).cast("string") == F.col("_xid"), "left_anti")
 
 
@@ -96,12 +95,12 @@ def catalog_extract(cat: Catalog, brand_ids=None, linked_only: bool = True,
     if facets_not_null:
         sku = sku.filter(F.col("facets_jsonb").isNotNull())
     sku = filter_brands(sku, brand_ids)
-    bridge = cat.sku_category.join(broadcast_if_small(cats.select("categoryId"), "categories"),
+    bridge = cat.sku_category.join(cats.select("categoryId"),
                                    "categoryId", "left_semi")
     picked = one_category_per_product(bridge, category_order)
-    joined = (sku.join(broadcast_if_small(brands, "brands"), "brandId")
+    joined = (sku.join(brands, "brandId")
               .join(picked, "brandSKUId")
-              .join(broadcast_if_small(cats, "categories"), "categoryId"))
+              .join(cats, "categoryId"))
     return joined.select(*EXTRACT_COLUMNS)
 
 
@@ -115,10 +114,10 @@ def brand_rollup(cat: Catalog, linked_only: bool = True, exclude: DataFrame | No
         brands = linked_brands_only(brands, cat.seller_brand)
     sku = cat.sku.filter(F.col("isActive")).select("brandSKUId", "brandId")
     active_cat = cat.category.filter(F.col("isActive")).select("categoryId")
-    sku_in_cat = (cat.sku_category.join(broadcast_if_small(active_cat, "categories"), "categoryId", "left_semi")
+    sku_in_cat = (cat.sku_category.join(active_cat, "categoryId", "left_semi")
                   .select("brandSKUId"))
     counted = (sku.join(sku_in_cat, "brandSKUId", "left_semi")
-               .join(broadcast_if_small(brands, "brands"), "brandId")
+               .join(brands, "brandId")
                .groupBy("brandId", "brandName").agg(F.count_distinct("brandSKUId").alias("product_count")))
     return counted.filter(F.col("product_count") > 0).orderBy(F.desc("product_count"), "brandId")
 

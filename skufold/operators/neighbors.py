@@ -16,7 +16,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .sizing import broadcast_if_small, cpu_partitions
 from .vectors import distance
 
 
@@ -39,9 +38,9 @@ def eps_pairs(points: DataFrame, eps: float | str, group: str = "brandId", key:
         p = p.withColumn("_eps", F.lit(float(eps)))
     if "_metric" not in p.columns:
         p = p.withColumn("_metric", F.lit(metric))
-    p = p.select(*cols, "_eps", "_metric")
+    p = p.filter(F.col(vec).isNotNull()).select(*cols, "_eps", "_metric")
     piv = _pivots(p, group, key, vec)
-    cell = (p.join(broadcast_if_small(piv, "pivots"), group)
+    cell = (p.join(piv, group)
             .withColumn("_d1", distance(F.col(vec), F.col("_p1"), F.col("_metric")))
             .withColumn("_d2", distance(F.col(vec), F.col("_p2"), F.col("_metric")))
             .withColumn("_c1", F.floor(F.col("_d1") / F.col("_eps")))
@@ -58,9 +57,6 @@ def eps_pairs(points: DataFrame, eps: float | str, group: str = "brandId", key:
     right = cell.select(F.col(group), F.col(key).alias("b"), F.col(vec).alias("vb"),
                         F.col("_d1").alias("d1b"), F.col("_d2").alias("d2b"),
                         F.col("_c1").alias("k1"), F.col("_c2").alias("k2"))
-    n = cpu_partitions(points.sparkSession)
-    left = left.repartition(n, group, "k1", "k2")
-    right = right.repartition(n, group, "k1", "k2")
     cand = (left.join(right, [group, "k1", "k2"])
             .filter((F.col("a") < F.col("b"))
                     & (F.abs(F.col("d1a") - F.col("d1b")) <= F.col("_eps"))

@@ -1,51 +1,7 @@
-"""Checked broadcasts.
-
-A side is broadcast only when its size is bounded: the optimizer's estimate
-(from file sizes / row counts after filters) must be under
-``spark.sql.autoBroadcastJoinThreshold``. Beyond it the normal shuffle join
-runs. With AQE on, a side that turns out small at runtime is still converted.
-"""
+"""Partition counts."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-DEFAULT_LIMIT = 10 * 1024 * 1024
-
-
-def _limit(df: DataFrame) -> int:
-    try:
-        v = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", str(DEFAULT_LIMIT))
-        v = str(v).strip().lower()
-        mult = 1
-        for suf, m in (("kb", 1 << 10), ("mb", 1 << 20), ("gb", 1 << 30), ("b", 1)):
-            if v.endswith(suf):
-                v, mult = v[: -len(suf)], m
-                break
-        return int(float(v) * mult)
-    except Exception:  # unparsable setting: be conservative
-        return DEFAULT_LIMIT
-
-
-def estimated_bytes(df: DataFrame) -> int | None:
-    """Optimizer size estimate of a DataFrame (no job is run)."""
-    try:
-        stats = df._jdf.queryExecution().optimizedPlan().stats()
-        return int(str(stats.sizeInBytes()))
-    except Exception:
-        return None
-
-
-def broadcast_if_small(df: DataFrame, what: str = "", limit: int | None = None) -> DataFrame:
-    lim = _limit(df) if limit is None else limit
-    if lim <= 0:
-        return df
-    size = estimated_bytes(df)
-    if size is not None and size <= lim:
-        return F.broadcast(df)
-    return df
-
 
 def cpu_partitions(spark) -> int:
     """Partition count for CPU-bound steps (pair distances, centroid scans).

@@ -51,9 +51,9 @@ def embedding_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def embedding_clusters(spark: SparkSession, sf_dir: str, eps: float, min_samples: int,
-                       min_cluster_size: int = 2, force_kmeans: bool = False) -> DataFrame:
+                       min_cluster_size: int = 2, method: str = "density") -> DataFrame:
     cfg = ClusterConfig(min_cluster_size=min_cluster_size, min_samples=min_samples, epsilon=eps,
-                        force_kmeans=force_kmeans)
+                        method=method)
     return cluster_products(embedding_points(spark, sf_dir), cfg)
 
 

@@ -381,7 +381,7 @@ def c6(spark, d):
 
 @query("C8_kmeans_clusters")
 def c8(spark, d):
-    return flows.embedding_clusters(spark, d, 0.1, 1, force_kmeans=True)
+    return flows.embedding_clusters(spark, d, 0.1, 1, method="kmeans")
 
 
 @query("C9_clustering_stats", _emb_sql("""
@@ -636,12 +636,8 @@ def b6(spark, d):
 SELECT r.*, b.batch_number FROM reps r JOIN batches b ON r.brandId = b.brandId"""))
 def b7(spark, d):
     det = _det(spark, d).join(_batches(spark, d).select("brandId", "batch_number"), "brandId")
-    nums = [1, 2, 3, 4, 5]
-    parts = [res.representatives(det.filter(F.col("batch_number") == n)).withColumn("batch_number", F.lit(n))
-             for n in nums]
-    parts.append(res.representatives(det.filter(F.col("batch_number") > nums[-1]))
-                 .join(det.select("brandId", "batch_number").distinct(), "brandId"))
-    return bt.union_batches(*parts).withColumn("batch_number", F.col("batch_number").cast("int"))
+    reps = res.representatives(det).join(det.select("brandId", "batch_number").distinct(), "brandId")
+    return bt.union_batches(reps).withColumn("batch_number", F.col("batch_number").cast("int"))
 
 
 _BSUM = f""",

@@ -20,8 +20,7 @@ def brand_clean(brand_col: str = "brandLabel") -> F.Column:
 
 
 def _dynamic(df: DataFrame):
-    df.sparkSession.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    return df.write.mode("overwrite")
+    return df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
 
 
 def write_brand_json(detailed: DataFrame, path: str, brand_col: str = "brandLabel") -> None:

@@ -80,7 +80,25 @@ def require_columns(df: DataFrame, cols=BATCH_REQUIRED) -> DataFrame:
 
 
 def read_batches(spark: SparkSession, path_glob: str, fmt: str = "csv") -> DataFrame:
-    """All batch outputs with ``batch_number`` from the file name."""
+    """All batch outputs with ``batch_number`` from the file name.
+
+    Files are read by their own headers: those with equal columns in one scan,
+    a group that lacks a required column is skipped (S6), and the groups are
+    united by name.
+    """
     reader = spark.read.option("header", True) if fmt == "csv" else spark.read
-    df = reader.format(fmt).load(path_glob)
-    return df.withColumn("batch_number", F.regexp_extract(F.col("_metadata.file_path"), r"batch(\d+)", 1).cast("int"))
+    paths = sorted(r.path for r in spark.read.format("binaryFile").load(path_glob).select("path").collect())
+    groups: dict[tuple, list[str]] = {}
+    for path in paths:  # one header line per batch file
+        groups.setdefault(tuple(reader.format(fmt).load(path).columns), []).append(path)
+    out = None
+    for columns, members in groups.items():
+        if set(BATCH_REQUIRED) - set(columns):
+            continue
+        df = reader.format(fmt).load(members)
+        df = df.withColumn("batch_number", F.regexp_extract(F.col("_metadata.file_path"), r"batch(\d+)", 1).cast("int"))
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    if out is None:
+        empty = ", ".join(f"{c} string" for c in BATCH_REQUIRED) + ", batch_number int"
+        return spark.createDataFrame([], empty)
+    return out

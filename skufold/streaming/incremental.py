@@ -1,23 +1,42 @@
 """Incremental upsert with Structured Streaming.
 
-New detailed rows arrive as files; every micro-batch replaces the brands it
-contains in the master table (dynamic partition overwrite on ``brandId``),
-so a replayed micro-batch after a failure writes the same partitions again:
-the sink is idempotent and the query's checkpoint gives exactly-once
-progress.
+New detailed rows arrive as files; every micro-batch is merged into the master
+table by (brandId, brandSKUId): the brands it touches are rewritten with their
+old rows, replaced or joined by the new ones (dynamic partition overwrite on
+``brandId``). A brand may arrive in any number of files, and a replayed
+micro-batch writes the same rows again, so the sink is idempotent and the query's
+checkpoint gives exactly-once progress.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..session import ensure_checkpoint_dir
+
 
 def upsert_batch(batch: DataFrame, master_path: str) -> None:
-    batch.sparkSession.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    (batch.withColumn("processing_timestamp", F.current_timestamp())
-     .write.mode("overwrite").partitionBy("brandId").parquet(master_path))
+    """Merge a batch; of several rows of a key in it, the one that sorts last stays."""
+    keys = ["brandId", "brandSKUId"]
+    rest = [c for c in batch.columns if c not in keys]
+    new = (batch.groupBy(*keys).agg(F.max(F.struct(*[F.col(c) for c in rest])).alias("_r"))
+           .select(*keys, "_r.*").withColumn("processing_timestamp", F.current_timestamp()))
+    ensure_checkpoint_dir(batch.sparkSession)
+    new = new.checkpoint()
+    try:
+        master = batch.sparkSession.read.parquet(master_path)
+    except AnalysisException:  # the first batch: there is no table yet
+        master = None
+    if master is not None:
+        old = (master.withColumn("brandId", F.col("brandId").cast(batch.schema["brandId"].dataType))
+               .join(new.select("brandId").distinct(), "brandId", "left_semi")
+               .join(new.select(*keys), keys, "left_anti"))
+        new = new.unionByName(old, allowMissingColumns=True)
+    (new.repartition("brandId").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("brandId").parquet(master_path))
 
 
 def incremental_upsert(spark: SparkSession, source_dir: str, schema: StructType, master_path: str,

@@ -62,7 +62,7 @@ def test_kmeans_separated_blobs(spark):
                 k += 1
     df = spark.createDataFrame(rows, "brandId string, brandSKUId long, embedding array<double>, truth int")
     # force k-means; k = min(max(45 // 20, 10), 100) clamped to n -> 10 clusters per brand
-    out = cluster_products(df.select("brandId", "brandSKUId", "embedding"), ClusterConfig(force_kmeans=True))
+    out = cluster_products(df.select("brandId", "brandSKUId", "embedding"), ClusterConfig(method="kmeans"))
     j = out.join(df, ["brandId", "brandSKUId"])
     assert out.count() == len(rows) and out.filter("cluster_id < 0").count() == 0
     # no k-means cluster mixes two true blobs
