@@ -1,7 +1,8 @@
 """Sinks (K1-K6, K8, K9; K7 is ``sources.jdbc.write_jdbc``).
 
 Per-brand outputs are one write partitioned by a brand column, never a
-driver loop over brands. Re-runs replace only the partitions they touch
+driver loop over brands. Clean names need not be unique, so partitions carry
+the brand id too. Re-runs replace only the partitions they touch
 (dynamic partition overwrite), which makes them idempotent.
 """
 
@@ -14,6 +15,10 @@ from ..functions import pyregex as rx
 from ..operators import results as res
 
 
+#: A brand's rows are written by at most so many tasks.
+FILES_PER_BRAND = 4
+
+
 def brand_clean(brand_col: str = "brandLabel") -> F.Column:
     """File-safe brand name: lower, ``[^\\w\\-_]`` -> ``_``."""
     return F.regexp_replace(F.lower(F.col(brand_col)), f"[^{rx.W}\\-_]", "_")
@@ -28,20 +33,21 @@ def write_brand_json(detailed: DataFrame, path: str, brand_col: str = "brandLabe
     cluster chunk)."""
     names = detailed.select("brandId", brand_clean(brand_col).alias("brand_clean")).distinct()
     nested = res.nest_clusters(detailed).join(names, "brandId")
-    _dynamic(nested).partitionBy("brand_clean").json(path)
+    _dynamic(nested).partitionBy("brand_clean", "brandId").json(path)
 
 
 def write_detailed(detailed: DataFrame, path: str, brand_col: str = "brandLabel") -> None:
     """K2: all processed rows per brand as CSV."""
-    _dynamic(detailed.withColumn("brand_clean", brand_clean(brand_col))) \
-        .partitionBy("brand_clean").option("header", True).csv(path)
+    _dynamic(detailed.withColumn("brand_clean", brand_clean(brand_col))
+             .repartition("brandId", F.pmod(F.xxhash64("brandSKUId"), F.lit(FILES_PER_BRAND)))) \
+        .partitionBy("brand_clean", "brandId").option("header", True).csv(path)
 
 
 def write_cluster_summary(detailed: DataFrame, path: str, brand_col: str = "brandLabel") -> None:
     """K3: flat cluster summary per brand as CSV."""
     out = res.cluster_summary(detailed.withColumn("_b", brand_clean(brand_col))) \
         .join(detailed.select("brandId", brand_clean(brand_col).alias("brand_clean")).distinct(), "brandId")
-    _dynamic(out).partitionBy("brand_clean").option("header", True).csv(path)
+    _dynamic(out).partitionBy("brand_clean", "brandId").option("header", True).csv(path)
 
 
 def write_master(detailed: DataFrame, path: str, brand_col: str = "brandLabel") -> None:

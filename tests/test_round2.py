@@ -73,3 +73,14 @@ def test_vectors_do_not_depend_on_the_run_and_no_row_is_lost(spark):
     vectors = spark.createDataFrame([("1", [1.0])], "brandSKUId string, embedding array<double>")
     got = {r.brandSKUId: r.embedding_status for r in embed(df, "precomputed", vectors=vectors).collect()}
     assert got == {"1": "ok", "2": "missing", "3": "missing"}
+
+
+def test_brands_with_equal_clean_names_keep_their_files(spark, tmp_path):
+    from skufold.sinks.writers import write_detailed
+    df = lambda b, name, ids: spark.createDataFrame([(b, name, i) for i in ids], "brandId string, brandLabel string, brandSKUId string")
+    path = str(tmp_path / "detailed")
+    write_detailed(df("1", "A B", ["x", "y"]), path)
+    write_detailed(df("2", "A_B", ["z"]), path)
+    write_detailed(df("1", "A B", ["x"]), path)
+    got = spark.read.option("header", True).csv(path)
+    assert sorted((str(r.brandId), r.brandSKUId) for r in got.collect()) == [("1", "x"), ("2", "z")]
