@@ -9,9 +9,11 @@ pair of any length is spread over many tasks. Only DataFrame functions run.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: Turns of one output part: a row never holds more than this many turn numbers.
 PART_TURNS = 256
 END = "<|end|>\n"
@@ -62,6 +64,7 @@ def format_preferences(chosen: DataFrame, rejected: DataFrame, part_turns: int =
     both = c.join(r, c["pair_id"].eqNullSafe(r["_p"]) & (c["turn"] == r["_t"]), "full").select(
         F.when(F.col("_t").isNull(), F.col("pair_id")).otherwise(F.col("_p")).alias("pair_id"),
         F.coalesce("turn", "_t").alias("turn"), "c", "r")
+    both = written(both)
     differ = ~F.col("c").eqNullSafe(F.col("r"))
     first = (both.groupBy(F.col("pair_id").alias("_p"))
              .agg(F.min(F.when(differ, F.col("turn"))).alias("cut"))
@@ -86,7 +89,7 @@ def format_preferences(chosen: DataFrame, rejected: DataFrame, part_turns: int =
         joined("p").alias("prompt"), joined("ct").alias("chosen"), joined("rt").alias("rejected"),
         joined("cm", ",").alias("chosen_mask"), joined("rm", ",").alias("rejected_mask"),
         count("ct").alias("n_chosen"), count("rt").alias("n_rejected"), count("p").alias("part_prompt_turns"))
-    total = rows.groupBy(F.struct(F.col("pair_id").alias("_p")).alias("_k")).agg(count("p").alias("prompt_turns"))
-    return (out.withColumn("_k", F.struct(F.col("pair_id").alias("_p"))).join(total, "_k")
-            .select("pair_id", "part", "prompt_turns", "prompt", "chosen", "rejected", "chosen_mask",
-                    "rejected_mask", "n_chosen", "n_rejected"))
+    # few rows: a pair has one per PART_TURNS turns
+    whole = Window.partitionBy("pair_id")
+    return out.select("pair_id", "part", F.sum("part_prompt_turns").over(whole).alias("prompt_turns"), "prompt",
+                      "chosen", "rejected", "chosen_mask", "rejected_mask", "n_chosen", "n_rejected")
