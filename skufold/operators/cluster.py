@@ -7,13 +7,18 @@ Cluster ids are brand-local; the key of a cluster is (brandId, cluster_id).
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, scratch_path
 from .components import connected_components
 from .neighbors import core_distances, eps_pairs, mutual_reachability_edges
 from .sizing import cpu_partitions
@@ -45,7 +50,8 @@ class ClusterConfig:
     kmeans_max_iter: int = 300         # not converged by then: an error, never labels
     kmeans_tol: float = 1e-6
     kmeans_seed: int = KMEANS_SEED
-    rows_per_salt: int = 2000
+    kmeans_seeding: str = "hash"       # or "first": the smallest ids, for one reproducible start
+    rows_per_salt: int = 16384
 
 
 def k_rule(n: F.Column) -> F.Column:
@@ -145,73 +151,136 @@ def density_clusters(points: DataFrame, cfg: ClusterConfig = ClusterConfig()) ->
     return _attach_noise(points, number_clusters(members.join(big, [GROUP, "root"])))
 
 
+def _by_start(table: pa.Table) -> dict[int, np.ndarray]:
+    """Centroid matrices by start, their rows by cid."""
+    order = np.lexsort((table["cid"].to_numpy(), table["start"].to_numpy()))
+    start = table["start"].to_numpy()[order]
+    c = _matrix(table["c"])[order]
+    return {int(x): c[start == x] for x in np.unique(start)}
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    flat = column.combine_chunks()
+    return flat.flatten().to_numpy().reshape(len(flat), -1)
+
+
+def _nearest(v: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of and squared distance to each row's nearest centroid."""
+    d = (c * c).sum(axis=1) - 2.0 * (v @ c.T)
+    at = d.argmin(axis=1)
+    diff = v - c[at]
+    return at, (diff * diff).sum(axis=1)
+
+
+def _bucketed(df: DataFrame, keys: list[str]) -> DataFrame:
+    """df, written once to the shared folder in buckets of ``keys``, so that group-bys
+    on them read it without a shuffle. The catalog entry is gone at once, the files
+    stay as long as the folder does."""
+    spark, n = df.sparkSession, cpu_partitions(df.sparkSession)
+    name = f"bucketed_{uuid.uuid4().hex[:12]}"
+    (df.repartition(n, *keys).write.bucketBy(n, *keys).sortBy(*keys)
+     .option("path", scratch_path(spark, "buckets")).saveAsTable(name))
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return table
+
+
 def kmeans_clusters(points: DataFrame, cfg: ClusterConfig = ClusterConfig()) -> DataFrame:
     """Grouped Lloyd iterations for all brands at once, to convergence.
 
-    Centroids live in a table keyed (brand, start, cid). Each iteration hands
-    every (brand, start, salt) its centroid array, takes the nearest one per point
-    and start in JVM expressions, and averages per (brand, start, cid) with a
-    partial aggregation. Large brands are split over ``ceil(n / rows_per_salt)``
-    salts. The best start per brand (lowest inertia) gives the labels. Centroids
-    that still move after ``kmeans_max_iter`` rounds raise an error. SKUs without a
-    vector get -1. Not bit-equal to scikit-learn's k-means++ runs.
+    Points are written once in buckets of (brand, salt); a brand has ``ceil(n / rows_per_salt)`` salts, so no brand sits in one task. Each
+    iteration hands every (brand, salt) the brand's moving centroids, which meet
+    the points in a co-group that moves no point. It returns one partial sum per
+    centroid, and partial sums are added per (brand, start, cid). Starts that have
+    converged take no further part. The best start per brand (lowest inertia)
+    gives the labels. Centroids that still move after ``kmeans_max_iter`` rounds
+    raise an error. SKUs without a vector get -1; the vectors of a brand have one
+    length. Not bit-equal to scikit-learn's k-means++ runs.
     """
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.stat import Summarizer
 
     spark = points.sparkSession
     ensure_checkpoint_dir(spark)
-    n_init = int(cfg.kmeans_n_init)
+    group_type, key_type = (points.schema[c].dataType.simpleString() for c in (GROUP, KEY))
     usable = points.filter(F.col(VEC).isNotNull())
     n = F.col("n")
     prm = usable.groupBy(GROUP).agg(F.count(F.lit(1)).alias("n")).select(
         GROUP, (k_rule(n) if cfg.k is None else F.least(F.lit(int(cfg.k)), n).cast("int")).alias("k"),
-        F.greatest(F.lit(1), F.ceil(n / cfg.rows_per_salt)).cast("int").alias("_salts"))
+        F.greatest(F.lit(1), F.ceil(n / cfg.rows_per_salt)).cast("int").alias("_salts")).checkpoint()
     pts = (usable.select(GROUP, KEY, F.col(VEC).cast("array<double>").alias("v")).join(prm, GROUP)
            .withColumn("_salt", F.pmod(F.xxhash64(F.col(KEY).cast("string")), F.col("_salts")).cast("int"))
-           .select(GROUP, "_salt", KEY, "v", "k")
-           .repartition(cpu_partitions(spark), GROUP, "_salt", KEY).checkpoint())
-    starts = F.sequence(F.lit(0), F.lit(n_init - 1))
-    # Initial centroids: per (brand, start) the k points with the smallest
-    # seeded hash. Exact two-stage top-k: first within each (brand, start,
-    # salt), then over the <= salts * k survivors, so no task ever ranks a
-    # whole large brand.
-    cand = (pts.select(GROUP, "_salt", KEY, "v", "k", F.explode(starts).alias("start"))
-            .withColumn("_h", F.xxhash64(F.col(KEY).cast("string"), F.col("start"), F.lit(cfg.kmeans_seed))))
+           .select(GROUP, "_salt", KEY, "v", "k"))
+    pts = _bucketed(pts, [GROUP, "_salt"])
+    # Initial centroids: per (brand, start) the k points with the smallest seeded
+    # hash, or the smallest ids. Exact two-stage top-k over ids alone: within each
+    # (brand, start, salt), then over the <= salts * k survivors.
+    starts = F.sequence(F.lit(0), F.lit(int(cfg.kmeans_n_init) - 1))
+    h = F.lit(0) if cfg.kmeans_seeding == "first" else F.xxhash64(
+        F.col(KEY).cast("string"), F.col("start"), F.lit(cfg.kmeans_seed))
+    cand = pts.select(GROUP, "_salt", KEY, "k", F.explode(starts).alias("start")).withColumn("_h", h)
     w1 = Window.partitionBy(GROUP, "start", "_salt").orderBy("_h", KEY)
     local = cand.withColumn("_r", F.row_number().over(w1)).filter(F.col("_r") <= F.col("k")).drop("_r")
     w2 = Window.partitionBy(GROUP, "start").orderBy("_h", KEY)
-    cents = (local.withColumn("cid", F.row_number().over(w2) - 1).filter(F.col("cid") < F.col("k"))
-             .select(GROUP, "start", F.col("cid").cast("int").alias("cid"), F.col("v").alias("c"))
-             .checkpoint())
-
-    def assign(cents: DataFrame) -> DataFrame:
-        cset = (cents.groupBy(GROUP, "start").agg(F.collect_list(F.struct("cid", "c")).alias("cs"))
-                .join(prm.select(GROUP, "_salts"), GROUP)
-                .select(GROUP, "start", "cs", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("_salt")))
-        nearest = F.array_min(F.transform(F.col("cs"), lambda c: F.struct(
-            euclidean(F.col("v"), c["c"]).alias("d"), c["cid"].alias("cid"))))
-        return (pts.join(cset, [GROUP, "_salt"]).select(GROUP, KEY, "v", "start", nearest.alias("b"))
-                .select(GROUP, KEY, "v", "start", "b.cid", "b.d"))
+    seeds = (local.withColumn("cid", (F.row_number().over(w2) - 1).cast("int")).filter(F.col("cid") < F.col("k"))
+             .select(GROUP, "_salt", KEY, "start", "cid"))
+    cents = (pts.select(GROUP, "_salt", KEY, "v").join(seeds, [GROUP, "_salt", KEY])
+             .select(GROUP, "start", "cid", F.col("v").alias("c"), F.lit(True).alias("active")).checkpoint())
+
+    def meet(cents: DataFrame, fn, schema: str) -> DataFrame:
+        """fn(keys, points' matrix, centroids by start) -> columns, per (brand, salt)."""
+        spread = (cents.join(prm.select(GROUP, "_salts"), GROUP)
+                  .select(F.col(GROUP).alias(GROUP), F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("_salt"),
+                          "start", "cid", "c"))
+
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            cols = fn(left[KEY].combine_chunks(), _matrix(left["v"]), _by_start(right)) if len(left) and len(right) else None
+            if cols is None:
+                return out_schema.empty_table()
+            brand = pa.repeat(left[GROUP][0], len(cols[0]))
+            return pa.Table.from_arrays([brand, *cols], schema=out_schema)
+        out_schema = to_arrow_schema(StructType.fromDDL(f"{GROUP} {group_type}, {schema}"))
+        return (pts.groupBy(GROUP, "_salt").cogroup(spread.groupBy(GROUP, "_salt"))
+                .applyInArrow(run, f"{GROUP} {group_type}, {schema}"))
+
+    def sums(keys, v, by_start):
+        start, cid, count, total = [], [], [], []
+        for s, c in by_start.items():
+            at, _ = _nearest(v, c)
+            order = np.argsort(at, kind="stable")
+            found, first, many = np.unique(at[order], return_index=True, return_counts=True)
+            start += [s] * len(found)
+            cid += found.tolist()
+            count += many.tolist()
+            total += np.add.reduceat(v[order], first, axis=0).tolist()
+        return [pa.array(start, pa.int32()), pa.array(cid, pa.int32()), pa.array(count, pa.int64()),
+                pa.array(total, pa.list_(pa.float64()))]
+
+    def inertia(keys, v, by_start):
+        return [pa.array(list(by_start), pa.int32()),
+                pa.array([float(_nearest(v, c)[1].sum()) for c in by_start.values()], pa.float64())]
+
+    def labels(keys, v, by_start):
+        (c,) = by_start.values()
+        return [keys, pa.array(_nearest(v, c)[0].astype(np.int32))]
 
     for _ in range(int(cfg.kmeans_max_iter)):
-        means = (assign(cents).groupBy(GROUP, "start", "cid")
-                 .agg(Summarizer.mean(array_to_vector("v")).alias("_m"))
-                 .select(GROUP, "start", "cid", vector_to_array("_m").alias("nc")))
-        new = (cents.join(means, [GROUP, "start", "cid"], "left")
-               .select(GROUP, "start", "cid", "c", F.coalesce("nc", "c").alias("nc")).checkpoint())
-        shift = new.select(F.max(euclidean(F.col("c"), F.col("nc"))).alias("m")).first()["m"]
-        cents = new.select(GROUP, "start", "cid", F.col("nc").alias("c"))
-        if shift is None or shift <= cfg.kmeans_tol:
+        means = (meet(cents.filter("active"), sums, "start int, cid int, n long, s array<double>")
+                 .groupBy(GROUP, "start", "cid")
+                 .agg(F.sum("n").alias("n"), Summarizer.sum(array_to_vector("s")).alias("s"))
+                 .select(GROUP, "start", "cid", F.transform(vector_to_array("s"), lambda x: x / F.col("n")).alias("nc")))
+        moved = F.max(F.coalesce(euclidean(F.col("c"), F.col("nc")), F.lit(0.0))).over(Window.partitionBy(GROUP, "start"))
+        cents = (cents.join(means, [GROUP, "start", "cid"], "left").withColumn("active", moved > cfg.kmeans_tol)
+                 .select(GROUP, "start", "cid", F.coalesce("nc", "c").alias("c"), "active").checkpoint())
+        if cents.filter("active").isEmpty():
             break
     else:
         raise RuntimeError(f"k-means still moves after {cfg.kmeans_max_iter} rounds: raise kmeans_max_iter or kmeans_tol")
-    final = assign(cents)
-    inertia = final.groupBy(GROUP, "start").agg(F.sum(F.col("d") * F.col("d")).alias("_in"))
-    best = inertia.groupBy(GROUP).agg(F.min_by("start", F.struct("_in", "start")).alias("start"))
-    labels = (final.join(best, [GROUP, "start"])
-              .select(GROUP, KEY, F.col("cid").cast("int").alias("cluster_id")))
-    return _attach_noise(points, labels)
+    if int(cfg.kmeans_n_init) > 1:
+        best = (meet(cents, inertia, "start int, e double").groupBy(GROUP, "start").agg(F.sum("e").alias("e"))
+                .groupBy(GROUP).agg(F.min_by("start", F.struct("e", "start")).alias("start")))
+        cents = cents.join(best, [GROUP, "start"])
+    return _attach_noise(points, meet(cents, labels, f"{KEY} {key_type}, cluster_id int"))
 
 
 def cluster_products(points: DataFrame, cfg: ClusterConfig = ClusterConfig()) -> DataFrame:

@@ -18,7 +18,7 @@ from ..operators import batching as bt
 from ..operators import charts as ch
 from ..operators import extract as ex
 from ..operators import results as res
-from ..operators.cluster import ClusterConfig, adaptive_params, clustering_stats
+from ..operators.cluster import ClusterConfig, adaptive_params, cluster_products, clustering_stats
 from ..operators.embed import embed, read_embeddings
 from ..operators.neighbors import core_distances, eps_pairs, mutual_reachability_edges
 from ..operators.prepare import IdentityConfig
@@ -384,6 +384,39 @@ def c8(spark, d):
     return flows.embedding_clusters(spark, d, 0.1, 1, method="kmeans")
 
 
+#: Rounds that the SQL below writes out; further rounds change nothing once it has converged.
+_LLOYD_ROUNDS = 24
+
+
+def _lloyd_sql() -> str:
+    """One start from the smallest ids; every round reassigns and averages."""
+    rounds = []
+    for i in range(_LLOYD_ROUNDS):
+        rounds.append(f"""
+a{i} AS MATERIALIZED (SELECT e.brandId, e.brandSKUId, any_value(e.v) AS v,
+    arg_min(c.cid, struct_pack(d := list_distance(e.v, c.c), c := c.cid)) AS cid
+  FROM emb e JOIN c{i} c ON c.brandId = e.brandId GROUP BY e.brandId, e.brandSKUId),
+x{i} AS (SELECT brandId, cid, unnest(v) AS x, unnest(range(len(v))) AS i FROM a{i}),
+m{i} AS (SELECT brandId, cid, list(x ORDER BY i) AS c FROM (
+  SELECT brandId, cid, i, avg(x) AS x FROM x{i} GROUP BY ALL) GROUP BY brandId, cid),
+c{i + 1} AS MATERIALIZED (SELECT c.brandId, c.cid, coalesce(m.c, c.c) AS c FROM c{i} c
+  LEFT JOIN m{i} m ON m.brandId = c.brandId AND m.cid = c.cid)""")
+    return f"""
+WITH emb AS (SELECT CAST(label AS VARCHAR) AS brandId, vec_id AS brandSKUId, CAST(embedding AS DOUBLE[]) AS v
+             FROM embeddings),
+c0 AS MATERIALIZED (SELECT brandId, cid, v AS c FROM (
+  SELECT brandId, v, CAST(row_number() OVER (PARTITION BY brandId ORDER BY brandSKUId) - 1 AS INTEGER) AS cid,
+         count(*) OVER (PARTITION BY brandId) AS n FROM emb)
+  WHERE cid < least(greatest(n // 20, 10), 100, n)),{",".join(rounds)}
+SELECT brandId, brandSKUId, cid AS cluster_id FROM a{_LLOYD_ROUNDS - 1}"""
+
+
+@query("C8_kmeans_first_seeds", _lloyd_sql())
+def c8_first(spark, d):
+    cfg = ClusterConfig(method="kmeans", kmeans_n_init=1, kmeans_seeding="first")
+    return cluster_products(flows.embedding_points(spark, d), cfg)
+
+
 @query("C9_clustering_stats", _emb_sql("""
 SELECT brandId, count(DISTINCT CASE WHEN cluster_id <> -1 THEN cluster_id END) AS n_clusters,
   sum(CASE WHEN cluster_id = -1 THEN 1 ELSE 0 END) AS n_noise,
