@@ -133,22 +133,34 @@ def identity_clusters(processed: DataFrame, min_cluster_size: int = 2,
 def density_clusters(points: DataFrame, cfg: ClusterConfig = ClusterConfig()) -> DataFrame:
     """C4: flat density cut.
 
+    Equal vectors of a brand are one vertex with a count, so copies never pair up.
     Edges: eps-neighbour pairs whose mutual reachability max(core a, core b, d)
-    is <= eps. Clusters: connected components, over (brand, SKU) keys, with >=
-    min_cluster_size SKUs. Everything else, SKUs without a vector included, is
-    noise.
+    is <= eps; core distances count every copy. Clusters: connected components,
+    over (brand, SKU) keys, with >= min_cluster_size SKUs. Everything else, SKUs
+    without a vector included, is noise.
     """
     ensure_checkpoint_dir(points.sparkSession)
-    pairs = eps_pairs(points.select(GROUP, KEY, VEC), cfg.epsilon, GROUP, KEY, VEC, cfg.metric).checkpoint()
-    cores = core_distances(pairs, cfg.min_samples, GROUP) if cfg.min_samples > 1 else None
+    usable = points.select(GROUP, KEY, VEC).filter(F.col(VEC).isNotNull())
+    distinct = usable.groupBy(GROUP, VEC).agg(F.min(KEY).alias("rep"), F.count(F.lit(1)).alias("copies")).checkpoint()
+    pairs = eps_pairs(distinct.withColumnRenamed("rep", KEY), cfg.epsilon, GROUP, KEY, VEC, cfg.metric).checkpoint()
+    weights = distinct.select(GROUP, F.col("rep").alias("id"), "copies")
+    cores = core_distances(pairs, cfg.min_samples, GROUP, weights).checkpoint() if cfg.min_samples > 1 else None
     edges = mutual_reachability_edges(pairs, cores, cfg.epsilon, GROUP)
     vertex = lambda c: F.struct(F.col(GROUP).alias("g"), F.col(c).alias("k"))
     comp = connected_components(edges.select(vertex("a").alias("src"), vertex("b").alias("dst")))
-    members = comp.select(F.col("vertex.g").alias(GROUP), F.col("vertex.k").alias(KEY),
-                          F.col("component.k").alias("root"))
-    big = (members.groupBy(GROUP, "root").agg(F.count(F.lit(1)).alias("_n"))
+    linked = comp.select(F.col("vertex.g").alias(GROUP), F.col("vertex.k").alias("rep"),
+                         F.col("component.k").alias("root"))
+    dense = weights.filter("copies > 1")  # copies are neighbours at distance 0
+    if cores is not None:
+        dense = dense.join(cores.select(GROUP, "id"), [GROUP, "id"], "left_semi")
+    alone = dense.select(GROUP, F.col("id").alias("rep"), F.col("id").alias("root")).join(linked, [GROUP, "rep"], "left_anti")
+    members = (distinct.select(GROUP, "rep", "copies").join(linked.union(alone), [GROUP, "rep"])).checkpoint()
+    big = (members.groupBy(GROUP, "root").agg(F.sum("copies").alias("_n"))
            .filter(F.col("_n") >= cfg.min_cluster_size).select(GROUP, "root"))
-    return _attach_noise(points, number_clusters(members.join(big, [GROUP, "root"])))
+    ids = brand_ranks(big, "root")
+    by_vector = (distinct.join(members.select(GROUP, "rep", "root"), [GROUP, "rep"]).join(ids, [GROUP, "root"])
+                 .select(GROUP, VEC, "cluster_id"))
+    return _attach_noise(points, usable.join(by_vector, [GROUP, VEC]).select(GROUP, KEY, "cluster_id"))
 
 
 def _by_start(table: pa.Table) -> dict[int, np.ndarray]:

@@ -71,21 +71,26 @@ def both_directions(pairs: DataFrame, group: str = "brandId") -> DataFrame:
         pairs.select(group, F.col("b").alias("a"), F.col("a").alias("b"), "d"))
 
 
-def core_distances(pairs: DataFrame, min_samples: int = 1, group: str = "brandId") -> DataFrame:
-    """Distance to the k-th nearest other point, k = min_samples (or the
-    per-row ``_ms`` column), for points whose k-th neighbour lies within eps;
-    the others have core distance > eps and drop out. Returns (group, id, core).
-
-    The window is per point over its eps-neighbours only, never over a brand.
+def core_distances(pairs: DataFrame, min_samples: int = 1, group: str = "brandId",
+                   weights: DataFrame | None = None) -> DataFrame:
+    """Distance to the k-th nearest other point, k = min_samples, for points
+    whose k-th neighbour lies within eps; the others have core distance > eps and
+    drop out. Returns (group, id, core).
+
+    ``weights`` (group, id, copies) gives the points a vertex stands for: its
+    further copies are neighbours at distance 0. The window is per point over its
+    eps-neighbours only, never over a brand.
     """
-    extra = ["_ms"] if "_ms" in pairs.columns else []
-    fwd = pairs.select(group, "a", "b", "d", *extra)
-    rev = pairs.select(group, F.col("b").alias("a"), F.col("a").alias("b"), "d", *extra)
-    both = fwd.union(rev)
-    w = Window.partitionBy(group, "a").orderBy("d", "b")
-    k = F.col("_ms") if extra else F.lit(int(min_samples))
-    ranked = both.withColumn("_rn", F.row_number().over(w))
-    return ranked.filter(F.col("_rn") == k).select(group, F.col("a").alias("id"), F.col("d").alias("core"))
+    both = both_directions(pairs, group).withColumn("copies", F.lit(1).cast("long"))
+    if weights is not None:
+        w = weights.select(group, "id", F.col("copies").cast("long"))
+        own = w.filter("copies > 1").select(group, F.col("id").alias("a"), F.col("id").alias("b"),
+                                            F.lit(0.0).alias("d"), (F.col("copies") - 1).alias("copies"))
+        both = (both.drop("copies").join(w.withColumnRenamed("id", "b"), [group, "b"])
+                .select(group, "a", "b", "d", "copies").union(own))
+    run = Window.partitionBy(group, "a").orderBy("d", "b").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = both.withColumn("_rn", F.sum("copies").over(run)).filter(F.col("_rn") >= int(min_samples))
+    return ranked.groupBy(group, F.col("a").alias("id")).agg(F.min("d").alias("core"))
 
 
 def mutual_reachability_edges(pairs: DataFrame, cores: DataFrame | None, eps: float | None = None,

@@ -25,6 +25,28 @@ def test_large_brand_keeps_its_method_and_missing_vectors_are_noise(spark):
     assert got[9999] == -1 and [got[i] for i in range(2400)] == [i // 3 for i in range(2400)]
 
 
+def test_copies_of_a_vector_count_but_never_pair_up(spark):
+    """One vector with 3,000 copies, near and far neighbours, against brute force."""
+    rnd = random.Random(5)
+    at = {i: round(rnd.uniform(0, 6), 1) for i in range(60)}
+    rows = [("b", i, [x, 0.0]) for i, x in at.items()] + [("c", i, [1.0, 2.0]) for i in range(3000)] + [("c", 5000, [9.0, 9.0])]
+    for k in (1, 3):
+        cfg = ClusterConfig(epsilon=0.15, min_samples=k)
+        got = {(r.brandId, r.brandSKUId): r.cluster_id for r in cluster_products(spark.createDataFrame(rows, POINT), cfg).collect()}
+        core = {i: sorted(abs(at[i] - at[j]) for j in at if j != i)[k - 1] for i in at}
+        near = {i: [j for j in at if j != i and max(core[i], core[j], abs(at[i] - at[j])) <= 0.15] for i in at}
+        root = {}
+        for i in at:
+            todo = [i] if i not in root and near[i] else []
+            while todo:
+                j = todo.pop()
+                if root.setdefault(j, i) == i:
+                    todo += [x for x in near[j] if x not in root]
+        number = {r: n for n, r in enumerate(sorted(set(root.values())))}
+        assert {i: got["b", i] for i in at} == {i: number[root[i]] if i in root else -1 for i in at}
+        assert {got["c", i] for i in range(3000)} == {0} and got["c", 5000] == -1
+
+
 def test_kmeans_takes_any_k(spark):
     rnd = random.Random(1)
     rows = [("b", i, [float(i % 4) * 50 + rnd.random()]) for i in range(80)]
