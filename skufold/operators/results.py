@@ -68,6 +68,13 @@ def brand_summary(detailed: DataFrame, model: str = "", min_cluster_size: int =
             F.lit(min_samples).alias("min_samples"), F.current_timestamp().alias("timestamp"))))
 
 
+def brand_document(detailed: DataFrame, **options) -> DataFrame:
+    """O4 + O12: a brand's counts, metadata and ``variant_type_summary``."""
+    kinds = variant_type_summary(detailed).select(
+        GROUP, F.struct(*VARIANT_TYPES).alias("variant_type_summary"))
+    return brand_summary(detailed, **options).join(kinds, GROUP, "left")
+
+
 def cluster_summary(detailed: DataFrame) -> DataFrame:
     """Flat rows with the cluster name."""
     return detailed.select(GROUP, cluster_name().alias("cluster_id"), KEY, "label", "normalized_name",

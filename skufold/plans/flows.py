@@ -1,9 +1,10 @@
-"""End-to-end flows composed from sources, functions and operators.
+"""End-to-end flows composed from sources, functions, operators and sinks.
 
-E1 (bulk over catalog tables): rollup -> batches -> extract -> process ->
-embed -> cluster -> results; E2 (CSV files) differs only in its source;
-E4 (post-process): batch outputs -> representatives -> validation.
-The building blocks below are what the registered queries use.
+``run_catalog``: catalog tables -> batches -> extract -> process -> vectors ->
+clusters -> every sink and the ledger, resumed from the ledger. ``run_csv``
+differs in its source. ``run_postprocess``: batch outputs -> representatives ->
+validation -> the four-column master. The smaller blocks below are what the
+registered queries use.
 """
 
 from __future__ import annotations
@@ -14,12 +15,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import results as res
-from ..operators.batching import assign_batches
+from ..operators.batching import (
+    LEDGER_SCHEMA, assign_batches, batch_summary, brand_ledger_rows, global_summary, remaining_brands)
 from ..operators.cluster import ClusterConfig, cluster_products, identity_grouped
 from ..operators.embed import embed
 from ..operators.extract import brand_rollup, catalog_extract
 from ..operators.prepare import IdentityConfig, process_products
-from ..sources.catalog import derive_catalog, read_table
+from ..session import ensure_checkpoint_dir
+from ..sinks import writers
+from ..sources.catalog import Catalog, derive_catalog, read_table
+from ..sources.files import read_products_csv
 
 
 @dataclass(frozen=True)
@@ -65,3 +70,74 @@ def catalog_run(spark: SparkSession, sf_dir: str, cfg: RunConfig = RunConfig())
     pts = embed(p, cfg.encoder)
     assigned = cluster_products(pts.select("brandId", "brandSKUId", "embedding"), cfg.cluster)
     return res.assign_clusters(p, assigned).join(batches, "brandId", "left")
+
+
+def publish(detailed: DataFrame, out: str, cfg: RunConfig = RunConfig()) -> None:
+    """K1-K6 and K8 of detailed rows with ``batch_number`` under ``out``; brands and
+    batches that are written again are replaced."""
+    meta = {"model": cfg.encoder if isinstance(cfg.encoder, str) else "callable",
+            "min_cluster_size": cfg.cluster.min_cluster_size, "min_samples": cfg.cluster.min_samples}
+    writers.write_brand_json(detailed, f"{out}/brands", **meta)
+    writers.write_detailed(detailed, f"{out}/detailed")
+    writers.write_cluster_summary(detailed, f"{out}/cluster_summary")
+    writers.write_master(detailed, f"{out}/master")
+    writers.write_batch(detailed, f"{out}/batches")
+    everything = detailed.sparkSession.read.parquet(f"{out}/master")
+    writers.write_master_summary(everything, f"{out}/master_summary")
+    writers.write_combined_json(res.brand_document(everything, **meta), f"{out}/combined")
+
+
+def _ledger(spark: SparkSession, out: str) -> DataFrame:
+    """The run ledger, made on first use (an append of no rows)."""
+    spark.createDataFrame([], LEDGER_SCHEMA).write.mode("append").parquet(f"{out}/ledger")
+    return spark.read.schema(LEDGER_SCHEMA).parquet(f"{out}/ledger")
+
+
+def _process(products: DataFrame, batches: DataFrame, out: str, run_id: str, cfg: RunConfig) -> DataFrame:
+    """Process, cluster and publish the brands of ``batches``, then append their
+    ledger rows; a run that dies before is repeated by the next one."""
+    spark = products.sparkSession
+    ensure_checkpoint_dir(spark)
+    p = process_products(products.join(batches.select("brandId"), "brandId", "left_semi"), cfg.identity).checkpoint()
+    assigned = cluster_products(embed(p, cfg.encoder).select("brandId", "brandSKUId", "embedding"), cfg.cluster)
+    detailed = (res.assign_clusters(p, assigned).join(batches.select("brandId", "batch_number"), "brandId")).checkpoint()
+    if not detailed.isEmpty():
+        publish(detailed, out, cfg)
+    brand_ledger_rows(p, batches, run_id).write.mode("append").parquet(f"{out}/ledger")
+    return detailed
+
+
+def run_catalog(cat: Catalog, out: str, run_id: str, cfg: RunConfig = RunConfig(),
+                exclude: DataFrame | None = None) -> DataFrame:
+    """All brands that the ledger under ``out`` does not name as processed, in
+    batches; failed brands are tried again. Returns the batch summaries of the run."""
+    spark = cat.sku.sparkSession
+    ledger = _ledger(spark, out)
+    todo = remaining_brands(brand_rollup(cat, exclude=exclude), ledger)
+    last = ledger.agg(F.coalesce(F.max("batch_number"), F.lit(0))).first()[0]
+    batches = assign_batches(todo, cfg.batch_size, start=last + 1).select(
+        F.col("brandId").cast("string").alias("brandId"), "batch_number").checkpoint()
+    detailed = _process(catalog_extract(cat, exclude_test=True), batches, out, run_id, cfg)
+    return batch_summary(detailed, spark.read.schema(LEDGER_SCHEMA).parquet(f"{out}/ledger").filter(
+        F.col("run_id") == run_id))
+
+
+def run_csv(spark: SparkSession, paths, out: str, run_id: str, cfg: RunConfig = RunConfig()) -> DataFrame:
+    """The same from product CSV files, one brand per file name; one row of totals."""
+    products = read_products_csv(spark, paths)
+    _ledger(spark, out)
+    brands = products.groupBy("brandId").agg(F.count(F.lit(1)).alias("product_count"))
+    batches = assign_batches(brands, cfg.batch_size).select("brandId", "batch_number").checkpoint()
+    detailed = _process(products, batches, out, run_id, cfg)
+    return global_summary(batch_summary(detailed, spark.read.schema(LEDGER_SCHEMA).parquet(f"{out}/ledger").filter(
+        F.col("run_id") == run_id)))
+
+
+def run_postprocess(master: DataFrame, path: str) -> DataFrame:
+    """Representatives of batch outputs (``read_batches`` or a master table),
+    validated and written (K9); returns their statistics (O15)."""
+    reps = res.representatives(master).checkpoint()
+    if not res.validate_representatives(reps).isEmpty():
+        raise ValueError("a cluster has more than one representative")
+    writers.write_representatives(reps, path)
+    return res.master_stats(reps)

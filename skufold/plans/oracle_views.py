@@ -146,3 +146,80 @@ detailed AS (
 
 def with_processed(body: str) -> str:
     return with_catalog(PROCESSED_CTES + body)
+
+
+# Catalog rows with prices, noise words, pack words, several separators, null
+# labels and unusable facets. The expressions are the same in Spark and DuckDB.
+MESSY_COLUMNS = {
+    "brandSKUId": "p_partkey",
+    "brandId": "p_brand",
+    "brandLabel": "p_brand",
+    "label": """CASE p_partkey % 10
+      WHEN 0 THEN concat(p_name, ' Rs. ', CAST(p_size AS VARCHAR(9)), ' only')
+      WHEN 1 THEN concat('New ', p_name, ' ', CAST(p_size AS VARCHAR(9)), ' ml pouch')
+      WHEN 2 THEN concat(p_brand, ' ', p_name, ' 20% extra - ', CAST(p_size AS VARCHAR(9)), 'g (Pack)')
+      WHEN 3 THEN concat(p_name, ' Family  Pack ', CAST(p_size AS VARCHAR(9)), '.5 kg sachet')
+      WHEN 4 THEN concat(p_name, ' Large 10 cm tin')
+      WHEN 5 THEN concat('Limited offer! ', p_name, ' $', CAST(p_size AS VARCHAR(9)), '.50 today')
+      WHEN 6 THEN concat(CAST(p_size AS VARCHAR(9)), 'UP')
+      WHEN 7 THEN NULL
+      WHEN 8 THEN concat('  ', p_name, ' – premium ', CAST(p_size AS VARCHAR(9)), ' fluid ounces jar ')
+      ELSE concat(p_brand, p_name) END""",
+    "facets_jsonb": """CASE p_partkey % 6
+      WHEN 0 THEN NULL
+      WHEN 1 THEN concat('{"netWeight":"', CAST(p_size AS VARCHAR(9)), 'kg","brandName":"Other ', p_brand, '"}')
+      WHEN 2 THEN '{"netWeight":null}'
+      WHEN 3 THEN '5'
+      WHEN 4 THEN '[]'
+      ELSE '{not json' END""",
+    "categoryLabel": """CASE p_partkey % 7
+      WHEN 0 THEN 'Sweets/Snacks, Fried' WHEN 1 THEN 'Tea, Coffee' WHEN 2 THEN 'A;Spices'
+      WHEN 3 THEN 'Oil|Ghee| ' WHEN 4 THEN NULL WHEN 5 THEN ' / ' ELSE 'n/a, Rice' END""",
+}
+
+
+def with_messy(body: str) -> str:
+    """``body`` over the processed rows of the messy catalog; facets that are no
+    JSON read as null; a null label or a bare number as facets is a fallback row."""
+    raw = ", ".join(f"{e} AS {c}" for c, e in MESSY_COLUMNS.items())
+    names = ", ".join(c if c != "facets_jsonb" else
+                      "CASE WHEN json_valid(facets_jsonb) THEN facets_jsonb END AS facets_jsonb" for c in MESSY_COLUMNS)
+    return (f"WITH raw AS (SELECT {raw} FROM part),\nextract AS (SELECT {names} FROM raw)\n" + PROCESSED_CTES + """
+,messy AS (
+  SELECT brandSKUId, brandId, normalized_name, primary_category, categories_parsed,
+    CASE WHEN ok THEN 'ok' ELSE 'fallback' END AS row_status,
+    CASE WHEN ok THEN brand_extracted ELSE brandLabel END AS brand_extracted,
+    CASE WHEN ok THEN core_identity
+         ELSE coalesce(normalized_name, 'None') || ' | ' || coalesce(categoryLabel, 'None') END AS core_identity
+  FROM (SELECT *, label IS NOT NULL AND coalesce(facets_jsonb, '') <> '5' AS ok FROM identity))
+""" + body)
+
+
+def sql_tokens(text: str) -> str:
+    """P1 over ASCII text."""
+    return (rf"list_filter(regexp_split_to_array(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower({text}), "
+            r"'[^\w\s]', ' ', 'g'), '\d+', '', 'g'), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g'), '\s+'), "
+            r"lambda w: length(w) >= 3)")
+
+
+def sql_soundex(w: str) -> str:
+    """P2 of an ASCII word: codes with H and W left out, runs of a code once, the
+    first letter's own code and vowels dropped."""
+    x = (f"(CASE WHEN upper({w}[1]) IN ('H', 'W') THEN '8' ELSE '' END || replace(translate(upper({w}), "
+         "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '01230129022455012623019202'), '9', ''))")
+    for digit in "0123456":
+        x = f"regexp_replace({x}, '{digit}+', '{digit}', 'g')"
+    return f"(upper({w}[1]) || left(replace({x}[2:], '0', '') || '000', 3))"
+
+
+def sql_match_rating(w: str) -> str:
+    """P5 of an ASCII word."""
+    chars = f"string_split(upper({w}), '')"
+    once = f"array_to_string(list_filter({chars}, lambda c, i: i = 1 OR c <> {chars}[i - 1]), '')"
+    code = f"({once}[1] || regexp_replace({once}[2:], '[AEIOU]', '', 'g'))"
+    return f"CASE WHEN length({code}) > 6 THEN left({code}, 3) || right({code}, 3) ELSE {code} END"
+
+
+def sql_codes(text: str, code) -> str:
+    """A list of the tokens' codes."""
+    return f"list_filter(list_transform({sql_tokens(text)}, lambda w: {code('w')}), lambda x: x <> '')"

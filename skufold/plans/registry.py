@@ -21,10 +21,11 @@ from ..operators import results as res
 from ..operators.cluster import ClusterConfig, adaptive_params, cluster_products, clustering_stats
 from ..operators.embed import embed, read_embeddings
 from ..operators.neighbors import core_distances, eps_pairs, mutual_reachability_edges
-from ..operators.prepare import IdentityConfig
+from ..operators.prepare import IdentityConfig, process_products
 from ..sources.catalog import derive_catalog, read_table
 from . import flows
-from .oracle_views import with_catalog, with_processed
+from .oracle_views import (
+    MESSY_COLUMNS, sql_codes, sql_match_rating, sql_soundex, with_catalog, with_messy, with_processed)
 
 Q: dict = {}
 O: dict = {}
@@ -254,7 +255,8 @@ def p1(spark, d):
                                             .alias("tokens"))
 
 
-@query("P2_soundex")
+@query("P2_soundex", with_processed(
+    f"SELECT brandSKUId, array_to_string({sql_codes('core_identity', sql_soundex)}, ' ') AS codes FROM identity"))
 def p2(spark, d):
     return flows.processed(spark, d).select("brandSKUId", ph.encode(F.col("core_identity"), "soundex").alias("codes"))
 
@@ -269,18 +271,39 @@ def p4(spark, d):
     return flows.processed(spark, d).select("brandSKUId", ph.encode(F.col("core_identity"), "nysiis").alias("codes"))
 
 
-@query("P5_match_rating_codex")
+@query("P5_match_rating_codex", with_processed(
+    f"SELECT brandSKUId, array_to_string({sql_codes('core_identity', sql_match_rating)}, ' ') AS codes FROM identity"))
 def p5(spark, d):
     return flows.processed(spark, d).select(
         "brandSKUId", ph.encode(F.col("core_identity"), "match_rating_codex").alias("codes"))
 
 
-@query("F9_phonetic_suffix")
+@query("P6_label_codes", with_processed(
+    f"SELECT brandSKUId, array_to_string({sql_codes('label', sql_match_rating)}, ' ') AS codes FROM identity"))
+def p6(spark, d):
+    return flows.products(spark, d).select(
+        "brandSKUId", ph.encode(F.col("label"), "match_rating_codex").alias("codes"))
+
+
+_RAW_IDENTITY = "concat_ws(' | ', nullif(trim(normalized_name), ''), nullif(trim(cats[1]), ''))"
+
+
+@query("F9_phonetic_suffix", with_processed(f"""
+SELECT brandSKUId, CASE WHEN raw <> '' AND len(codes) > 0
+  THEN lower(trim(raw || ' | PHONETIC:' || array_to_string(codes, ' '))) ELSE core_identity END AS core_identity
+FROM (SELECT *, {_RAW_IDENTITY} AS raw, {sql_codes(_RAW_IDENTITY, sql_soundex)} AS codes FROM identity)"""))
 def f9(spark, d):
     return flows.processed(spark, d, IdentityConfig(phonetic="soundex")).select("brandSKUId", "core_identity")
 
 
-@query("P7_phonetic_similarity")
+@query("P7_phonetic_similarity", with_processed(f""",
+coded AS (SELECT brandId, brandSKUId, cluster_id, list_distinct({sql_codes('label', sql_soundex)}) AS c FROM detailed),
+rep AS (SELECT brandId, cluster_id, min(brandSKUId) AS r FROM detailed WHERE cluster_id >= 0 GROUP BY 1, 2)
+SELECT a.brandId, a.brandSKUId, rep.r AS sisterProductId,
+  CASE WHEN len(a.c) = 0 OR len(b.c) = 0 THEN 0.0
+    ELSE round(len(list_intersect(a.c, b.c)) / len(list_distinct(list_concat(a.c, b.c))), 6) END::DOUBLE AS similarity
+FROM coded a JOIN rep ON rep.brandId = a.brandId AND rep.cluster_id = a.cluster_id
+JOIN coded b ON b.brandId = a.brandId AND b.brandSKUId = rep.r"""))
 def p7(spark, d):
     """Similarity of each clustered SKU's codes to its cluster representative's."""
     det = flows.identity_detailed(spark, d)
@@ -293,6 +316,44 @@ def p7(spark, d):
                     _r6(ph.similarity(F.col("codes"), F.col("rep_codes"))).alias("similarity")))
 
 
+# ------------------------------------------------------------- messy input
+
+def _messy(spark, d):
+    rows = read_table(spark, d, "part").selectExpr(*[f"{e} AS {c}" for c, e in MESSY_COLUMNS.items()])
+    return process_products(rows)
+
+
+@query("N13_normalize_messy", with_messy("SELECT brandSKUId, normalized_name FROM messy"))
+def n13_messy(spark, d):
+    return _messy(spark, d).select("brandSKUId", "normalized_name")
+
+
+@query("F4_F12_identity_messy", with_messy("""
+SELECT brandSKUId, core_identity, categories_parsed, primary_category, brand_extracted FROM messy"""))
+def f_messy(spark, d):
+    return _messy(spark, d).select("brandSKUId", "core_identity", "categories_parsed", "primary_category",
+                                   "brand_extracted")
+
+
+@query("F11_row_status_messy", with_messy("""
+SELECT brandId, row_status, count(*) AS n, count(DISTINCT core_identity) AS identities FROM messy GROUP BY 1, 2"""))
+def f11_messy(spark, d):
+    return _messy(spark, d).groupBy("brandId", "row_status").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("core_identity").alias("identities"))
+
+
+@query("P1_document_tokens", r"""
+SELECT doc_id, len(t) AS n_tokens, md5(array_to_string(t, ' ')) AS tokens_md5 FROM (
+  SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+    lower(coalesce(text, '')), '[^\p{L}\p{N}_\s\p{Z}\x{85}\x{0B}\x{1c}-\x{1f}]', ' ', 'g'), '\p{Nd}+', '', 'g'),
+    '[\s\p{Z}\x{85}\x{0B}\x{1c}-\x{1f}]+', ' ', 'g'), '^ | $', '', 'g'), ' '),
+    lambda w: length(w) >= 3) AS t FROM documents)""")
+def p1_documents(spark, d):
+    t = ph.tokens(F.coalesce("text", F.lit("")))
+    return (read_table(spark, d, "documents").select("doc_id", t.alias("t"))
+            .select("doc_id", F.size("t").alias("n_tokens"), F.md5(F.array_join("t", " ")).alias("tokens_md5")))
+
+
 # ----------------------------------------------------------- embeddings / C
 
 _EMB = """

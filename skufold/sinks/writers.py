@@ -28,26 +28,39 @@ def _dynamic(df: DataFrame):
     return df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
 
 
-def write_brand_json(detailed: DataFrame, path: str, brand_col: str = "brandLabel") -> None:
-    """K1: nested clusters per brand (one folder per brand, one JSON line per
-    cluster chunk)."""
-    names = detailed.select("brandId", brand_clean(brand_col).alias("brand_clean")).distinct()
-    nested = res.nest_clusters(detailed).join(names, "brandId")
-    _dynamic(nested).partitionBy("brand_clean", "brandId").json(path)
+def _by_brand(df: DataFrame, salt: str) -> DataFrame:
+    """Every brand's rows in at most FILES_PER_BRAND tasks."""
+    return df.repartition("brandId", F.pmod(F.xxhash64(salt), F.lit(FILES_PER_BRAND)))
+
+
+def _names(detailed: DataFrame, brand_col: str) -> DataFrame:
+    return detailed.groupBy("brandId").agg(F.min(brand_clean(brand_col)).alias("brand_clean"))
+
+
+def write_brand_json(detailed: DataFrame, path: str, brand_col: str = "brandLabel", **metadata) -> None:
+    """K1: one folder per brand: lines of clusters (a line per cluster chunk, with
+    its variant type) and one line with the brand's document: counts, variant type
+    summary and processing metadata (``metadata``: model, min_cluster_size,
+    min_samples)."""
+    kinds = res.variant_type(detailed).select("brandId", "cluster_id", "variant_type")
+    nested = res.nest_clusters(detailed).join(kinds, ["brandId", "cluster_id"])
+    whole = nested.unionByName(res.brand_document(detailed, brand_label=brand_col, **metadata), allowMissingColumns=True)
+    _dynamic(_by_brand(whole.join(_names(detailed, brand_col), "brandId"), "cluster_id")) \
+        .partitionBy("brand_clean", "brandId").json(path)
 
 
 def write_detailed(detailed: DataFrame, path: str, brand_col: str = "brandLabel") -> None:
     """K2: all processed rows per brand as CSV."""
-    _dynamic(detailed.withColumn("brand_clean", brand_clean(brand_col))
-             .repartition("brandId", F.pmod(F.xxhash64("brandSKUId"), F.lit(FILES_PER_BRAND)))) \
+    _dynamic(_by_brand(detailed.withColumn("brand_clean", brand_clean(brand_col)), "brandSKUId")) \
         .partitionBy("brand_clean", "brandId").option("header", True).csv(path)
 
 
 def write_cluster_summary(detailed: DataFrame, path: str, brand_col: str = "brandLabel") -> None:
-    """K3: flat cluster summary per brand as CSV."""
-    out = res.cluster_summary(detailed.withColumn("_b", brand_clean(brand_col))) \
-        .join(detailed.select("brandId", brand_clean(brand_col).alias("brand_clean")).distinct(), "brandId")
-    _dynamic(out).partitionBy("brand_clean", "brandId").option("header", True).csv(path)
+    """K3: flat cluster summary per brand as CSV, with each cluster's variant type."""
+    kinds = res.variant_type(detailed).select("brandId", F.col("cluster_name").alias("cluster_id"), "variant_type")
+    out = (res.cluster_summary(detailed).join(kinds, ["brandId", "cluster_id"])
+           .join(_names(detailed, brand_col), "brandId"))
+    _dynamic(_by_brand(out, "brandSKUId")).partitionBy("brand_clean", "brandId").option("header", True).csv(path)
 
 
 def write_master(detailed: DataFrame, path: str, brand_col: str = "brandLabel") -> None:
@@ -55,7 +68,7 @@ def write_master(detailed: DataFrame, path: str, brand_col: str = "brandLabel")
     partition is replaced on every write (B6 on disk)."""
     out = (detailed.withColumn("brand_name", F.col(brand_col))
            .withColumn("processing_timestamp", F.current_timestamp()))
-    _dynamic(out).partitionBy("brandId").parquet(path)
+    _dynamic(_by_brand(out, "brandSKUId")).partitionBy("brandId").parquet(path)
 
 
 def write_master_summary(detailed: DataFrame, path: str) -> None:
@@ -65,7 +78,7 @@ def write_master_summary(detailed: DataFrame, path: str) -> None:
 
 
 def write_combined_json(summary: DataFrame, path: str) -> None:
-    """K6: all brand results (O4 rows) in one dataset."""
+    """K6: all brand documents (counts, variant types, metadata) in one dataset."""
     summary.write.mode("overwrite").json(path)
 
 

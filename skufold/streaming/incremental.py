@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..session import ensure_checkpoint_dir
+from ..sinks.writers import FILES_PER_BRAND
 
 
 def upsert_batch(batch: DataFrame, master_path: str) -> None:
@@ -35,7 +36,8 @@ def upsert_batch(batch: DataFrame, master_path: str) -> None:
                .join(new.select("brandId").distinct(), "brandId", "left_semi")
                .join(new.select(*keys), keys, "left_anti"))
         new = new.unionByName(old, allowMissingColumns=True)
-    (new.repartition("brandId").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    spread = F.pmod(F.xxhash64("brandSKUId"), F.lit(FILES_PER_BRAND))
+    (new.repartition("brandId", spread).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("brandId").parquet(master_path))
 
 
