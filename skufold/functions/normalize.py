@@ -48,6 +48,13 @@ NOISE_PATTERNS = [
 MIN_LENGTH = 3
 # ---------------------------------------------------------------------------
 
+# Passes that run. When N8 starts, N7 has left only word characters and spaces,
+# so patterns that need one of ₹ $ % cannot match; letter case is ignored, so GM
+# and ML repeat gm and ml; N9 leaves no number for N10's price. N10's word lists
+# are one alternation, as each match becomes a space of its own.
+_N8 = [p for p in VARIANT_PATTERNS if not any(x in p for x in ("GM", "ML", "₹", r"\$"))]
+_N10 = "|".join(p for p in NOISE_PATTERNS if not any(x in p for x in ("₹", "%")))
+
 _UNIT_WORD_RE = "^(?:" + "|".join(UNIT_WORDS) + ")$"
 
 
@@ -97,11 +104,10 @@ def _middle(n: Column) -> Column:
     """A straight chain (each step uses the previous once)."""
     n = F.regexp_replace(n, py(DASHES), " ")                                 # N7
     n = F.regexp_replace(n, rx.SPECIAL, " ")
-    for p in VARIANT_PATTERNS:                                               # N8
+    for p in _N8:                                                            # N8
         n = F.regexp_replace(n, py(p, True), " ")
     n = F.regexp_replace(n, py(LONE_NUMBER), " ")                            # N9
-    for p in NOISE_PATTERNS:                                                 # N10
-        n = F.regexp_replace(n, py(p, True), " ")
+    n = F.regexp_replace(n, py(_N10, True), " ")                             # N10
     return rx.squeeze(n)                                                     # N11
 
 
