@@ -32,12 +32,24 @@ def row_key(id_col: Column, text: Column) -> Column:
                           F.coalesce(text, F.lit("\x01"))))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores put behind them until df has no such column."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def keep_by_key(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows of docs whose ``row_key`` is in keys(_key), repeated rows once.
 
     The join shuffles texts by a unique digest, so no key is hot; rows are
     already together by key when repeats are removed.
     """
-    keyed = docs.withColumn("_llm_key", row_key(F.col(id_col), F.col(text_col)))
-    kept = keyed.join(keys.select(F.col("_key").alias("_llm_key")).distinct(), "_llm_key", "left_semi")
-    return kept.dropDuplicates(["_llm_key"]).drop("_llm_key")
+    (key,) = fresh(docs, "_llm_key")
+    keyed = docs.withColumn(key, row_key(F.col(id_col), F.col(text_col)))
+    kept = keyed.join(keys.select(F.col("_key").alias(key)).distinct(), key, "left_semi")
+    return kept.dropDuplicates([key]).drop(key)

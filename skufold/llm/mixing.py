@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WS, row_key, word_count, written
+from .common import WS, fresh, row_key, word_count, written
 
 #: Rows of one bucket on average, and the most hex digits that number buckets.
 ROWS_PER_BUCKET = 512
@@ -108,19 +108,20 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     is hot; rows that repeat exactly share their copies.
     """
     plan = plan_mix(docs, id_col, text_col, source_col, **options).filter("taken > 0")
-    copies = plan.groupBy(F.col("row_key").alias("_llm_key")).agg(
-        F.sum(F.expr("taken div size")).alias("_llm_full"),
-        F.sum(F.expr("taken % size")).alias("_llm_part"))
-    keyed = (docs.withColumn("_llm_key", row_key(F.col(id_col), F.col(text_col)))
-             .dropDuplicates(["_llm_key"]).join(copies, "_llm_key"))
-    pieces = F.concat(F.array_repeat(F.lit(-1).cast("long"), F.col("_llm_full").cast("int")),
-                      F.when(F.col("_llm_part") > 0, F.array("_llm_part"))
+    key, full, part, cut = fresh(docs, "_llm_key", "_llm_full", "_llm_part", "_llm_cut")
+    copies = plan.groupBy(F.col("row_key").alias(key)).agg(
+        F.sum(F.expr("taken div size")).alias(full),
+        F.sum(F.expr("taken % size")).alias(part))
+    keyed = (docs.withColumn(key, row_key(F.col(id_col), F.col(text_col)))
+             .dropDuplicates([key]).join(copies, key))
+    pieces = F.concat(F.array_repeat(F.lit(-1).cast("long"), F.col(full).cast("int")),
+                      F.when(F.col(part) > 0, F.array(part))
                       .otherwise(F.array().cast("array<long>")))
-    out = keyed.withColumn("_llm_cut", F.explode(pieces))
+    out = keyed.withColumn(cut, F.explode(pieces))
     words = F.split(F.col(text_col), rf"(?<={WS})(?=[^\x20\x09-\x0D])")
     lead = F.when(F.col(text_col).rlike(rf"^{WS}"), 1).otherwise(0)
-    short = F.array_join(F.slice(words, 1, (F.col("_llm_cut") + lead).cast("int")), "")
-    text = F.when(F.col("_llm_cut") < 0, F.col(text_col)).otherwise(short)
+    short = F.array_join(F.slice(words, 1, (F.col(cut) + lead).cast("int")), "")
+    text = F.when(F.col(cut) < 0, F.col(text_col)).otherwise(short)
     out = out.withColumn(text_col, text)
     if "n_chars" in docs.columns and text_col != "n_chars":
         out = out.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))

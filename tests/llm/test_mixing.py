@@ -1,7 +1,9 @@
 import random
 from collections import Counter, defaultdict
 
-from skufold.llm import mixing
+from pyspark.sql import functions as F
+
+from skufold.llm import common, mixing
 
 
 def _targets(sizes, weights=(3, 1, 2), ratio=1.5, cap=2):
@@ -70,3 +72,13 @@ def test_mixed_texts_hold_what_the_plan_takes(spark):
 def test_empty_table(spark):
     docs = _docs(spark, []).drop("size")
     assert mixing.plan_mix(docs).count() == 0 and mixing.mix(docs).count() == 0
+
+
+def test_columns_named_like_helpers_are_kept(spark):
+    rows = [(i, f"a{i} b", "xy"[i % 2], "mine", i) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _llm_key string, _LLM_cut long")
+    out = mixing.mix(docs).collect()
+    assert out and all(r._llm_key == "mine" and r._LLM_cut == r.doc_id for r in out)
+    kept = common.keep_by_key(docs, docs.filter("doc_id < 2").select(
+        common.row_key(F.col("doc_id"), F.col("text")).alias("_key")), "doc_id", "text")
+    assert kept.columns == docs.columns and {r._llm_key for r in kept.collect()} == {"mine"} and kept.count() == 2
