@@ -86,3 +86,29 @@ def test_language_of_whole_and_mixed_texts(spark):
     assert [s.lang for s in spans] == ["aa", "bb", "ru"] and (spans[0].start, spans[1].start) == (0, 25)
     assert langid.fit(docs.limit(0)) is None and langid.predict(odd, None).count() == 6
     assert langid.predict(odd.limit(0), model).count() == 0
+
+
+def _noisy(spark, rows):
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    return docs, spark.createDataFrame([(i, 0, x) for i, (_, x) in enumerate(rows)], "doc_id long, quality int, toxic int")
+
+
+def test_toxicity_with_insults_in_clean_documents(spark):
+    texts = [(t, x) for (_, t, _, _), (_, _, x) in zip(*_corpus())]
+    quoted = [(" ".join(["lomi tenba sur"] * 3 + [w] + ["ka re dol"] * 3), 0) for w in BAD for _ in range(1)] * 3
+    machine = toxicity.fit(*_noisy(spark, texts + quoted))
+    assert (machine.scores([f"lomi {w} tenba" for w in BAD]) >= 0.7).all()
+    assert (machine.scores(["lomi tenba", "ka re dol", "sur suten balo"]) < 0.7).all()
+
+
+def test_toxicity_of_rare_insults_and_of_phrases(spark):
+    texts = [(t, x) for (_, t, _, _), (_, _, x) in zip(*_corpus())]
+    rare = [("lomi tenba zyxplit", 1)] * 3
+    rnd = random.Random(8)
+    plain = [(" ".join(rnd.choice(["lomi", "tenba", "surka", "redol", "mikalo", "goxa", "velt"]) for _ in range(30)), 0)
+             for _ in range(150)]
+    plain = [(t.replace("goxa velt", "goxa lomi velt"), x) for t, x in plain]
+    phrase = [(f"{t} {rnd.choice(SYLLABLES)}lomi goxa velt {t}", 1) for t, _ in plain[:60]]
+    machine = toxicity.fit(*_noisy(spark, texts + rare * 2 + plain + phrase))
+    assert (machine.scores(["tenba zyxplit lomi", "lomi goxa velt tenba"]) >= 0.7).all()
+    assert (machine.scores(["velt tenba goxa", "goxa lomi", "velt", "lomi tenba surka"]) < 0.7).all()
