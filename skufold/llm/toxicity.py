@@ -5,7 +5,8 @@ kernel of two words counts the character triples that both contain in order,
 with gaps: a triple that spans n characters weighs DECAY ** n, up to SPAN
 characters, so inserted characters and other endings keep most of the likeness.
 It is divided by each word's norm. Words written in single letters (``i d i o
-t``) and letters parted by one mark (``id.iot``) are joined first.
+t``) are joined first; letters parted by one mark (``id.iot``) are scored both joined
+and apart, and long units by windows, so that neighbours never thin a word out.
 
 Training: instances are spans of the labelled documents, words and pairs of
 neighbouring words, with soft margins. A span weighs as a positive by how far its
@@ -46,6 +47,8 @@ MAX_TOXIC, MAX_CLEAN = 3000, 6000
 LANDMARKS, MAX_POSITIVE, MAX_NEGATIVE, ROUNDS = 256, 1500, 6000, 5
 #: Positives that are also trained with a character put in, and how often each.
 VARIED, VARIANTS = 400, 4
+#: Letters in a window of a unit that has more, and from a window to the next.
+WINDOW, STEP = 12, 4
 #: A missed toxic document of which more words are in no clean one blames none.
 BLAMED = 8
 #: So many missed toxic documents count as much as one clean one over the line.
@@ -64,24 +67,55 @@ def char_classes() -> np.ndarray:
     return out
 
 
+@cache
+def _spaces() -> np.ndarray:
+    """By code point: whether it is white space, in Unicode, or a control character."""
+    out = np.zeros(0x110000, dtype=bool)
+    out[[i for i in range(0x110000) if i < 33 or chr(i).isspace()]] = True
+    return out
+
+
+def _windows(x: np.ndarray, sizes: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Units of given sizes, those of more letters than WINDOW by windows, the last
+    one flush with the end; two letters get class 0 on both sides, so that they have
+    triples."""
+    more = np.maximum(sizes - WINDOW, 0)
+    n = -(-more // STEP) + 1
+    k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    at = np.repeat(np.cumsum(sizes) - sizes, n) + np.minimum(k * STEP, np.repeat(more, n))
+    x, bounds = _slices(x, at, at + np.repeat(np.minimum(sizes, WINDOW), n))
+    two = np.diff(bounds) == 2
+    sides = np.concatenate((bounds[:-1][two], bounds[1:][two]))
+    return np.insert(x, sides, 0), bounds + 2 * np.concatenate(([0], np.cumsum(two))), np.repeat(of, n)
+
+
 def units(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Lower-cased texts -> character classes of all units, where each unit
-    begins (and the end), and the text each unit belongs to."""
+    """Lower-cased texts -> character classes of all units, where each unit begins
+    (and the end), and the text each unit belongs to. Units are runs of letters and
+    digits; single ones that follow each other are one."""
+    codes, begins = chars.code_points(texts)
+    x = char_classes()[codes]
+    starts, ends = chars.runs(x > 0)
+    of = np.searchsorted(begins, starts, side="right") - 1
+    lone = ends - starts == 1
+    joins = np.r_[False, lone[1:] & lone[:-1] & (starts[1:] - ends[:-1] <= 3) & (of[1:] == of[:-1])][:len(starts)]
+    sizes = np.bincount(np.cumsum(~joins) - 1, weights=ends - starts).astype(np.int64) if len(starts) else ends
+    return _windows(x[x > 0], sizes, of[~joins])
+
+
+def glued(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As units(), but only runs of letters parted by one mark each, as one unit."""
     codes, begins = chars.code_points(texts)
     x = char_classes()[codes]
     inside = x > 0
-    mark = ~inside & (codes > 32) & np.r_[False, inside[:-1]] & np.r_[inside[1:], False]
+    mark = ~inside & ~_spaces()[codes] & np.r_[False, inside[:-1]] & np.r_[inside[1:], False]
     starts, ends = chars.runs(inside | mark)
-    lone = np.empty(0, dtype=bool)
-    if len(starts):
-        n = np.add.reduceat(inside, np.stack((starts, ends), 1).ravel())[::2] if ends[-1] < len(inside) else None
-        of = np.searchsorted(begins, starts, side="right") - 1
-        lone = (n == 1)
-        joins = np.r_[False, lone[1:] & lone[:-1] & (starts[1:] - ends[:-1] <= 3) & (of[1:] == of[:-1])]
-        at = np.cumsum(~joins) - 1
-        sizes = np.bincount(at, weights=n).astype(np.int64)
-        return x[inside], np.concatenate(([0], np.cumsum(sizes))), of[~joins]
-    return x[:0], np.zeros(1, dtype=np.int64), np.empty(0, dtype=np.int64)
+    marks = np.concatenate(([0], np.cumsum(mark)))
+    some = marks[ends] > marks[starts]
+    starts, ends = starts[some], ends[some]
+    x, bounds = _slices(x, starts, ends)
+    sizes = ends - starts - (marks[ends] - marks[starts])
+    return _windows(x[x > 0], sizes, np.searchsorted(begins, starts, side="right") - 1)
 
 
 def _norms(lengths: np.ndarray) -> np.ndarray:
@@ -143,6 +177,8 @@ class Machine:
         for a, b in chars.blocks(texts):
             x, bounds, of = units(texts[a:b])
             np.maximum.at(out[a:b], of, unit_scores(x, bounds, self.weights, self.bias))
+            x2, bounds2, of2 = glued(texts[a:b])
+            np.maximum.at(out[a:b], of2, unit_scores(x2, bounds2, self.weights, self.bias))
             if self.pairs:
                 x, bounds, of = phrases(x, bounds, of)
                 np.maximum.at(out[a:b], of, unit_scores(x, bounds, self.weights, self.bias))
@@ -262,7 +298,7 @@ def fit_words(word: list[bytes], toxic: np.ndarray, clean: np.ndarray, weight: n
         w, bias = _svm(z, y, cost)
         weights = np.zeros(CLASSES ** 3, dtype=np.float32)
         weights[used] = table @ (root @ w)
-        machine = Machine(weights, bias, any(b"\0" in word[i] for i in best))
+        machine = Machine(weights, bias, any(b"\0" in word[i].strip(b"\0") for i in best))
         top = unit_scores(x, bounds, weights, bias)
         worst = negatives[np.argsort(-top, kind="stable")[:MAX_NEGATIVE // 4]]
         hard = np.union1d(hard, worst)[-4 * MAX_NEGATIVE:]

@@ -112,3 +112,20 @@ def test_toxicity_of_rare_insults_and_of_phrases(spark):
     machine = toxicity.fit(*_noisy(spark, texts + rare * 2 + plain + phrase))
     assert (machine.scores(["tenba zyxplit lomi", "lomi goxa velt tenba"]) >= 0.7).all()
     assert (machine.scores(["velt tenba goxa", "goxa lomi", "velt", "lomi tenba surka"]) < 0.7).all()
+
+
+def test_toxicity_of_insults_among_marks_spaces_and_in_long_units(spark):
+    machine = toxicity.fit(*_frames(spark))
+    low = ["lomi", "tensur", "balo", "karedol", "mika", "surten", "redolka"] * 9
+    for joint in (",", "/", "\u00a0", "\u3000", "\u2009"):
+        text = joint.join(low[:30] + ["grobnik"] + low[30:])
+        assert machine.scores([text])[0] >= 0.7 > machine.scores([joint.join(low)])[0], repr(joint)
+    joined = ["".join(low[:6] + ["grobnik"] + low[6:12]), " ".join("".join(low[:6] + ["snarfle"] + low[6:12]))]
+    assert (machine.scores(joined) >= 0.7).all() and machine.scores(["".join(low[:12])])[0] < 0.7
+
+
+def test_toxicity_of_units_of_two_letters(spark):
+    docs, labels = _corpus()
+    docs = [(i, t + (" 傻逼" if x else " 你好")) for (i, t, _, _), (_, _, x) in zip(docs, labels)]
+    machine = toxicity.fit(*_noisy(spark, [(t, x) for (_, t), (_, _, x) in zip(docs, labels)]))
+    assert machine.scores(["ba lomi 傻逼"])[0] >= 0.7 > machine.scores(["ba lomi 你好", "ba"]).max()
