@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import chat, exact_dedup, hnsw, langid, lm, mixing, packing, secrets, simhash, toxicity
+from . import (
+    align, chat, exact_dedup, hnsw, langid, lm, mixing, nn_descent, packing, secrets, simhash, toxicity, variants)
 
 Q: dict = {}
 O: dict = {}
@@ -233,3 +234,68 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return hnsw.nearest(vectors, vectors.filter("vec_id % 50 = 0"), k=5)
+
+
+@query("op11_token_alignment")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"),
+                                 tokenizer_path("piece_bpe_32k.model"))
+
+
+OP12_SQL = """
+WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+u AS (SELECT vec_id, v FROM e WHERE v IS NOT NULL AND list_count(v) = len(v) AND len(list_filter(v, lambda x: NOT isfinite(x))) = 0
+        AND len(list_filter(v, lambda x: x <> 0)) > 0),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+      WHERE list_cosine_similarity(a.v, b.v) >= 0.9),
+r AS (SELECT vec_id AS x, vec_id AS y FROM e UNION SELECT r.x, p.b FROM r JOIN p ON r.y = p.a),
+c AS (SELECT x, min(y) AS component_id FROM r GROUP BY x),
+n AS (SELECT a, count(*) AS n FROM p GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM e JOIN c ON c.x = e.vec_id LEFT JOIN n ON n.a = e.vec_id
+"""
+
+
+@query("op12_embedding_near_dedup", OP12_SQL.replace("WITH e", "WITH RECURSIVE e", 1))
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = nn_descent.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "n_links", "component_id", "kept")
+
+
+#: The letters of a word as one byte each: those from U+00C0 on become other ASCII signs.
+_HIGH = "".join(map(chr, range(0xC0, 0x100)))
+_SIGNS = "".join(c for c in map(chr, range(33, 127)) if not "a" <= c <= "z" and c != "'")[:len(_HIGH)]
+_CRC_STEP = "xor({0} >> 8, t[((xor({0}, {1})) & 255) + 1])"
+_CRC_2 = _CRC_STEP.format("(" + _CRC_STEP.format("a", "195") + ")", "(x - 64)")
+
+OP13_SQL = f"""
+WITH RECURSIVE tab AS (
+  SELECT list(list_reduce([i] || [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[],
+         lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384::BIGINT) ELSE a >> 1 END) ORDER BY i) AS t
+  FROM range(256) AS g(i)),
+runs AS (
+  SELECT coalesce(doc_id::VARCHAR, '') AS d, translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w, count(*) AS c
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z{_HIGH}]+')) AS w FROM documents) GROUP BY 1, 2),
+h AS (SELECT w, c, xor(4294967295::BIGINT, list_reduce(
+        [4294967295::BIGINT] || list_transform(string_split(d || ':' || w, ''), lambda y: unicode(y)::BIGINT),
+        lambda a, x: CASE WHEN x < 128 THEN {_CRC_STEP.format("a", "x")} ELSE {_CRC_2} END)) AS h FROM runs, tab),
+cut AS (SELECT CASE WHEN h % 97 = 0 THEN substr(w, 1, (h % length(w))::INT) || substr(w, (h % length(w))::INT + 2) ELSE w END AS word, c
+        FROM h),
+words AS (SELECT word, sum(c)::BIGINT AS n, translate(word, '{_HIGH}', '{_SIGNS}') AS s FROM cut
+          WHERE length(word) >= 5 GROUP BY 1 HAVING sum(c) >= 3),
+keys AS (SELECT word, s, n, unnest([s] || list_transform(range(length(s)), lambda i: substr(s, 1, i::INT) || substr(s, i::INT + 2))) AS k
+         FROM words),
+near AS (SELECT DISTINCT a.word, b.word AS near, b.n AS near_n FROM keys a JOIN keys b USING (k)
+         WHERE a.word <> b.word AND levenshtein(a.s, b.s) = 1),
+best AS (SELECT word, count(*) AS n_near, arg_min(near, (-near_n, near)) AS near, max(near_n) AS near_n FROM near GROUP BY 1),
+f AS (SELECT word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN near_n >= 2 * n THEN near END AS form,
+             CASE WHEN near_n >= 2 * n THEN near_n END AS form_n FROM words LEFT JOIN best USING (word)),
+r AS (SELECT word, word AS at FROM f UNION ALL SELECT r.word, f.form FROM r JOIN f ON f.word = r.at WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, r.at AS root, f.n, f.n_near, f.form_n
+FROM f JOIN r ON r.word = f.word JOIN f e ON e.word = r.at WHERE e.form IS NULL
+"""
+
+
+@query("op13_spelling_variants", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variant_forms(table(spark, sf_dir, "documents"))
