@@ -40,9 +40,8 @@ class DigestIndex:
         return self.spark.table(self.table)
 
     def append(self, fresh: DataFrame, batch: str) -> None:
-        """Append (digest, keep_id), one file per bucket. A batch's digests are
-        absent from the index before, so a batch that is run again after its
-        append adds nothing."""
+        """Append (digest, keep_id), one file per bucket; the caller leaves out what the
+        index already holds."""
         (fresh.select("digest", "keep_id", F.lit(batch).alias("batch"))
          .repartition(self.buckets, "digest").write.insertInto(self.table))
 
@@ -65,12 +64,16 @@ def dedup_batch(thin: DataFrame, index: DigestIndex, batch: str) -> DataFrame:
     Returns one row per input row: doc_id, keep_id, group_size (rows of the
     batch with that digest), kept, digest, row_key. The row of the smallest id
     stays (null ids last; of rows that repeat exactly, one); where the index
-    already holds the digest, its row stays and none of the batch does. Null
-    and empty texts are equal. An empty batch gives an empty result.
+    already holds the digest from another batch, its row stays and none of the
+    batch does. What the index holds from this batch is from a run of it that was
+    lost after its append: it is no reason to drop anything, so the batch run again
+    gives the first run's result and appends nothing. Null and empty texts are
+    equal. An empty batch gives an empty result.
     """
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row_key", "_rid"))
     groups = thin.groupBy("digest").agg(first.alias("f"), F.count(F.lit(1)).alias("group_size"))
-    known = index.read().select("digest", F.col("keep_id").alias("known_id"), F.lit(True).alias("known"))
+    others = index.read().filter(~F.col("batch").eqNullSafe(F.lit(batch)))
+    known = others.select("digest", F.col("keep_id").alias("known_id"), F.lit(True).alias("known"))
     groups = written(groups.join(known, "digest", "left").select(
         "digest", "group_size", F.coalesce("known", F.lit(False)).alias("known"),
         F.when(F.col("known"), F.col("known_id")).otherwise(F.col("f.doc_id")).alias("keep_id"),

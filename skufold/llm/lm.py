@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ORDER, ALPHA = 2, 0.4
+ORDER, ALPHA = 3, 0.4
 #: Bytes of text in a block on average; as many hash partitions as blocks.
 BLOCK_BYTES = 8 << 20
 _MIX = [np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15)]

@@ -198,32 +198,35 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False)
 
 
-OP9_SQL = r"""
-WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
-t AS (SELECT doc_id, unnest(w) AS w2, unnest(range(len(w))) AS i,
-             unnest([NULL::VARCHAR] || w[1:len(w) - 1]) AS w1 FROM d WHERE len(w) > 0),
-u AS (SELECT w2, count(*) AS n FROM t GROUP BY 1), ud AS (SELECT doc_id, w2, count(*) AS n FROM t GROUP BY 1, 2),
-b AS (SELECT w1, w2, count(*) AS n FROM t WHERE w1 IS NOT NULL GROUP BY 1, 2),
-bd AS (SELECT doc_id, w1, w2, count(*) AS n FROM t WHERE w1 IS NOT NULL GROUP BY 1, 2, 3),
-s AS (SELECT count(*) AS n FROM t), sd AS (SELECT doc_id, count(*) AS n FROM t GROUP BY 1),
-x AS (SELECT t.doc_id, t.w1 IS NULL AS first, u.n - ud.n AS c2, coalesce(b.n - bd.n, 0) AS cb,
-             coalesce(u1.n - ud1.n, 0) AS c1, greatest(s.n - sd.n, 1) AS o
-      FROM t JOIN u USING (w2) JOIN ud USING (doc_id, w2) JOIN sd USING (doc_id), s
-      LEFT JOIN b ON b.w1 = t.w1 AND b.w2 = t.w2 LEFT JOIN bd ON bd.doc_id = t.doc_id AND bd.w1 = t.w1 AND bd.w2 = t.w2
-      LEFT JOIN u u1 ON u1.w2 = t.w1 LEFT JOIN ud ud1 ON ud1.doc_id = t.doc_id AND ud1.w2 = t.w1),
-v AS (SELECT doc_id, CASE WHEN cb > 0 THEN ln(cb) - ln(c1)
-                          WHEN c2 > 0 THEN ln(c2) - ln(o) + CASE WHEN first THEN 0 ELSE ln(0.4) END
-                          ELSE -ln(o) + CASE WHEN first THEN 1 ELSE 2 END * ln(0.4) END AS l,
-             CASE WHEN cb > 0 OR first AND c2 > 0 THEN 0 ELSE 1 END AS back, CASE WHEN c2 > 0 THEN 0 ELSE 1 END AS unseen
-      FROM x),
-a AS (SELECT doc_id, count(*) AS n, sum(l) AS l, sum(back) AS back, sum(unseen) AS unseen FROM v GROUP BY 1)
+def _op9_sql(order: int) -> str:
+    """Leave-one-out scores with n-grams as space-joined words, up to ``order``."""
+    ks = range(1, order + 1)
+    lists = ", ".join(f"unnest(list_resize([]::VARCHAR[], least({j}, len(w))) || w[1:len(w) - {j}]) AS b{j}" for j in range(1, order))
+    gram = lambda k: " || ' ' || ".join([f"b{j}" for j in range(k - 1, 0, -1)] + ["b0"])
+    counts = ",\n".join(f"c{k} AS (SELECT g{k} AS g, count(*) AS n FROM g WHERE g{k} IS NOT NULL GROUP BY 1), "
+                        f"o{k} AS (SELECT doc_id, g{k} AS g, count(*) AS n FROM g WHERE g{k} IS NOT NULL GROUP BY 1, 2)" for k in ks)
+    joins = " ".join(f"LEFT JOIN c{k} ON c{k}.g = g.g{k} LEFT JOIN o{k} ON o{k}.g = g.g{k} AND o{k}.doc_id = g.doc_id" for k in ks)
+    level = " ".join(f"WHEN r{k} > 0 THEN {k}" for k in reversed(ks))
+    value = " ".join(f"WHEN {k} THEN ln(r{k}) - ln({f'p{k - 1}' if k > 1 else 'o'})" for k in reversed(ks))
+    return f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+t AS (SELECT doc_id, unnest(range(len(w))) AS i, unnest(w) AS b0, {lists} FROM d WHERE len(w) > 0),
+g AS MATERIALIZED (SELECT doc_id, i, {", ".join(f"{gram(k)} AS g{k}" for k in ks)} FROM t),
+{counts},
+s AS (SELECT count(*) AS n FROM g), sd AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+x AS MATERIALIZED (SELECT g.doc_id, g.i, greatest(s.n - sd.n, 1) AS o, {", ".join(f"coalesce(c{k}.n - o{k}.n, 0) AS r{k}" for k in ks)}
+      FROM g JOIN sd ON sd.doc_id = g.doc_id CROSS JOIN s {joins}),
+y AS (SELECT *, {", ".join(f"lag(r{k}) OVER (PARTITION BY doc_id ORDER BY i) AS p{k}" for k in ks)},
+             least(i + 1, {order}) AS most, CASE {level} ELSE 0 END AS level FROM x),
+v AS (SELECT doc_id, most, level, (most - level) * ln(0.4) + CASE level {value} ELSE -ln(o) END AS l FROM y),
+a AS (SELECT doc_id, count(*) AS n, sum(l) AS l, sum((level < most)::INT) AS back, sum((level = 0)::INT) AS unseen FROM v GROUP BY 1)
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_words, round(coalesce(l, 0), 3) AS logprob, round(l / n, 5) AS score,
        coalesce(back, 0)::BIGINT AS backoffs, coalesce(unseen, 0)::BIGINT AS unseen
 FROM documents LEFT JOIN a USING (doc_id)
 """
 
 
-@query("op9_stupid_backoff", OP9_SQL)
+@query("op9_stupid_backoff", _op9_sql(lm.ORDER))
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = lm.lm_scores(table(spark, sf_dir, "documents"))
     return scores.select("doc_id", "n_words", F.round("logprob", 3).alias("logprob"),
