@@ -201,7 +201,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _op9_sql(order: int) -> str:
     """Leave-one-out scores with n-grams as space-joined words, up to ``order``."""
     ks = range(1, order + 1)
-    lists = ", ".join(f"unnest(list_resize([]::VARCHAR[], least({j}, len(w))) || w[1:len(w) - {j}]) AS b{j}" for j in range(1, order))
+    lists = ", ".join(f"unnest(list_resize([]::VARCHAR[], least({j}, len(w))) || w[1:greatest(len(w) - {j}, 0)]) AS b{j}" for j in range(1, order))
     gram = lambda k: " || ' ' || ".join([f"b{j}" for j in range(k - 1, 0, -1)] + ["b0"])
     counts = ",\n".join(f"c{k} AS (SELECT g{k} AS g, count(*) AS n FROM g WHERE g{k} IS NOT NULL GROUP BY 1), "
                         f"o{k} AS (SELECT doc_id, g{k} AS g, count(*) AS n FROM g WHERE g{k} IS NOT NULL GROUP BY 1, 2)" for k in ks)
