@@ -1,7 +1,7 @@
 """Batches, resume and the run ledger.
 
-The ledger is an append-only table (run_id, brandId, status, error,
-batch_number, ts); the latest row per brand is its state. Brand lists are
+The ledger is an append-only table (run_id, brandId, status, error, batch_number,
+started, ts); the latest row per brand is its state. Brand lists are
 brand-level tables (tens of thousands of rows), so the single global
 row_number of B1 is over brands only, never SKUs.
 """
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 LEDGER_SCHEMA = ("run_id string, brandId string, status string, error string, "
-                 "batch_number int, ts timestamp")
+                 "batch_number int, started timestamp, ts timestamp")
 
 
 def assign_batches(brands: DataFrame, size: int, start: int = 1) -> DataFrame:
@@ -26,11 +26,8 @@ def assign_batches(brands: DataFrame, size: int, start: int = 1) -> DataFrame:
 
 def ledger_state(ledger: DataFrame) -> DataFrame:
     """Latest status per brand."""
-    return ledger.groupBy("brandId").agg(
-        F.max_by("status", F.struct("ts", "run_id")).alias("status"),
-        F.max_by("error", F.struct("ts", "run_id")).alias("error"),
-        F.max_by("batch_number", F.struct("ts", "run_id")).alias("batch_number"),
-        F.max("ts").alias("ts"))
+    last = F.max_by(F.struct("status", "error", "batch_number", "started", "ts"), F.struct("ts", "run_id"))
+    return ledger.groupBy("brandId").agg(last.alias("r")).select("brandId", "r.*")
 
 
 def remaining_brands(brands: DataFrame, ledger: DataFrame) -> DataFrame:
@@ -48,6 +45,12 @@ def resume_point(batch_numbers: DataFrame, col: str = "batch_number") -> DataFra
         .withColumn("next_batch", F.col("last_completed") + 1)
 
 
+def completed_batches(ledger: DataFrame) -> DataFrame:
+    """B4 input: batches of which every brand's latest state is processed."""
+    done = F.min((F.col("status") == "processed").cast("int")) == 1
+    return ledger_state(ledger).groupBy("batch_number").agg(done.alias("_d")).filter("_d").select("batch_number")
+
+
 def failed_brands(ledger: DataFrame) -> DataFrame:
     """B5 input: brands whose latest state is failed."""
     return ledger_state(ledger).filter(F.col("status") == "failed").select("brandId")
@@ -67,7 +70,7 @@ def union_batches(*frames: DataFrame) -> DataFrame:
     return out
 
 
-def brand_ledger_rows(products: DataFrame, brands: DataFrame, run_id: str) -> DataFrame:
+def brand_ledger_rows(products: DataFrame, brands: DataFrame, run_id: str, started: float | None = None) -> DataFrame:
     """One ledger row per brand of the batch. Row-level errors do not fail a
     brand (they become fallback rows, ``row_status``); a brand of which no row
     could be processed is failed, with an error text, and others go on. A brand
@@ -80,17 +83,23 @@ def brand_ledger_rows(products: DataFrame, brands: DataFrame, run_id: str) -> Da
                     F.when(failed, "failed").otherwise("processed").alias("status"),
                     F.when(failed, F.concat(F.lit("none of "), F.col("_n").cast("string"),
                                             F.lit(" rows could be processed"))).alias("error"),
-                    F.col("batch_number").cast("int"), F.current_timestamp().alias("ts")))
+                    F.col("batch_number").cast("int"),
+                    (F.current_timestamp() if started is None else F.timestamp_seconds(F.lit(started))).alias("started"),
+                    F.current_timestamp().alias("ts")))
 
 
 def batch_summary(detailed: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Per batch brands in / processed / failed, products, clusters,
-    clustered, rate."""
+    """Per batch brands in / processed / failed, the failed ones' ids, minutes from
+    start to end, products, clusters, clustered, rate. A batch is at most a batch size
+    of brands."""
     st = ledger_state(ledger)
     brands = st.groupBy("batch_number").agg(
         F.count(F.lit(1)).alias("brands_in_batch"),
         F.sum(F.when(F.col("status") == "processed", 1).otherwise(0)).alias("brands_processed"),
-        F.sum(F.when(F.col("status") == "failed", 1).otherwise(0)).alias("brands_failed"))
+        F.sum(F.when(F.col("status") == "failed", 1).otherwise(0)).alias("brands_failed"),
+        F.array_join(F.array_sort(F.collect_list(F.when(F.col("status") == "failed", F.col("brandId").cast("string")))), ",")
+        .alias("failed_list"),
+        F.round((F.max(F.unix_micros("ts")) - F.min(F.unix_micros("started"))) / 60e6, 2).alias("minutes"))
     cid = F.col("cluster_id")
     prods = detailed.groupBy("batch_number").agg(
         F.count(F.lit(1)).alias("total_products"),
@@ -104,8 +113,13 @@ def batch_summary(detailed: DataFrame, ledger: DataFrame) -> DataFrame:
 
 
 def global_summary(batches: DataFrame) -> DataFrame:
-    """Totals across batches."""
+    """Totals across batches, and ``breakdown``, products and clusters batch by
+    batch (``number:products:clusters``)."""
+    each = F.array_sort(F.collect_list(F.struct("batch_number", "total_products", "total_clusters")))
     return batches.agg(
+        F.array_join(F.transform(each, lambda b: F.concat_ws(":", *[b[c].cast("string") for c in (
+            "batch_number", "total_products", "total_clusters")])), ",").alias("breakdown"),
+        F.round(F.sum("minutes"), 2).alias("minutes"),
         F.count(F.lit(1)).alias("batches"),
         F.sum("brands_processed").alias("brands_processed"),
         F.sum("brands_failed").alias("brands_failed"),

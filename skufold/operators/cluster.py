@@ -18,8 +18,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
-from ..session import ensure_checkpoint_dir, scratch_path
+from ..session import ensure_checkpoint_dir, saved, scratch_path
 from .components import connected_components
+from . import hierarchy, mst, pivots
 from .neighbors import core_distances, eps_pairs, mutual_reachability_edges
 from .sizing import cpu_partitions
 from .vectors import euclidean
@@ -40,7 +41,7 @@ KMEANS_SEED, KMEANS_N_INIT = 42, 10
 class ClusterConfig:
     """Method and parameters, the same for brands of any size; nothing switches
     by size. ``adaptive_params`` reports the sizes the reference recommends."""
-    method: str = "density"            # or "kmeans"
+    method: str = "density"            # or "hdbscan", "kmeans"
     metric: str = "euclidean"          # or "manhattan"
     min_cluster_size: int = 2
     min_samples: int = 1
@@ -163,6 +164,31 @@ def density_clusters(points: DataFrame, cfg: ClusterConfig = ClusterConfig()) ->
     return _attach_noise(points, usable.join(by_vector, [GROUP, VEC]).select(GROUP, KEY, "cluster_id"))
 
 
+def hdbscan_clusters(points: DataFrame, cfg: ClusterConfig = ClusterConfig()) -> DataFrame:
+    """Hierarchical density clusters by excess of mass, selected no finer than
+    ``epsilon``; a brand's whole tree is never one cluster.
+
+    Equal vectors of a brand are one vertex with copies. Brands with at most
+    ``min_samples`` points have no core distances and are noise, like SKUs without a
+    vector.
+    """
+    ensure_checkpoint_dir(points.sparkSession)
+    usable = points.select(GROUP, KEY, VEC).filter(F.col(VEC).isNotNull() & F.col(GROUP).isNotNull())
+    distinct = usable.groupBy(GROUP, VEC).agg(F.min(KEY).alias("rep"), F.count(F.lit(1)).alias("copies")).transform(saved)
+    index = pivots.build(distinct, GROUP, "rep", VEC, cfg.metric, "copies")
+    vertices = index.points.select(F.col("g").alias(GROUP), "vid", F.col("key").alias("rep"), "copies").transform(saved)
+    cores = pivots.kth_distances(index, cfg.min_samples).transform(saved)
+    tree = hierarchy.merge_tree(mst.spanning_trees(index, cores), vertices.join(cores.select("vid"), "vid"))
+    clusters, members = hierarchy.condensed(tree, cores, cfg.min_cluster_size)
+    chosen = hierarchy.select_clusters(clusters, cfg.epsilon).filter("chosen is not null")
+    found = (members.join(chosen, "c").join(vertices, "vid").select(GROUP, "rep", "chosen")).transform(saved)
+    roots = found.groupBy(GROUP, "chosen").agg(F.min("rep").alias("root"))
+    ids = brand_ranks(roots.select(GROUP, "root"), "root")
+    by_vector = (distinct.join(found, [GROUP, "rep"]).join(roots, [GROUP, "chosen"]).join(ids, [GROUP, "root"])
+                 .select(GROUP, VEC, "cluster_id"))
+    return _attach_noise(points, usable.join(by_vector, [GROUP, VEC]).select(GROUP, KEY, "cluster_id"))
+
+
 def _by_start(table: pa.Table) -> dict[int, np.ndarray]:
     """Centroid matrices by start, their rows by cid."""
     order = np.lexsort((table["cid"].to_numpy(), table["start"].to_numpy()))
@@ -297,7 +323,7 @@ def kmeans_clusters(points: DataFrame, cfg: ClusterConfig = ClusterConfig()) ->
 
 def cluster_products(points: DataFrame, cfg: ClusterConfig = ClusterConfig()) -> DataFrame:
     """Cluster every brand by the method the caller names."""
-    methods = {"density": density_clusters, "kmeans": kmeans_clusters}
+    methods = {"density": density_clusters, "hdbscan": hdbscan_clusters, "kmeans": kmeans_clusters}
     if cfg.method not in methods:
         raise ValueError(f"unknown method {cfg.method!r}")
     return methods[cfg.method](points, cfg)

@@ -1,13 +1,9 @@
-"""Exact epsilon-neighbour pairs per brand without forming all pairs.
+"""Exact epsilon-neighbour pairs, core distances and mutual reachability.
 
-Blocking by pivots: per brand two pivot SKUs are chosen (smallest and largest
-hash). Each point gets its distances d1, d2 to them and the cell
-(floor(d1/eps), floor(d2/eps)). By the triangle inequality two points within
-eps of each other have |d1a - d1b| <= eps and |d2a - d2b| <= eps, so they sit
-in the same or adjacent cells. Pairs are formed only by an equi-join on
-(brand, cell) against the 3x3 neighbouring cells, then filtered exactly. Both
-metrics (euclidean, manhattan) obey the triangle inequality. Nothing is
-sampled or capped: the result is the exact eps-neighbour relation.
+Pairs come from the pivot blocks of ``pivots``: distance boxes rule pairs of blocks
+out before any vector is fetched, the rest is compared densely and exactly. Both
+metrics (euclidean, manhattan) obey the triangle inequality. Nothing is sampled or
+capped.
 """
 
 from __future__ import annotations
@@ -16,54 +12,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .vectors import distance
+from . import pivots
 
 
-def _pivots(points: DataFrame, group: str, key: str, vec: str) -> DataFrame:
-    h = F.xxhash64(F.col(key).cast("string"))
-    return points.groupBy(group).agg(F.min_by(vec, h).alias("_p1"), F.max_by(vec, h).alias("_p2"))
-
-
-def eps_pairs(points: DataFrame, eps: float | str, group: str = "brandId", key: str = "brandSKUId",
+def eps_pairs(points: DataFrame, eps: float, group: str = "brandId", key: str = "brandSKUId",
               vec: str = "embedding", metric: str = "euclidean") -> DataFrame:
-    """All pairs (a < b) in the same group with distance <= eps.
+    """All pairs (a < b) in the same group with distance <= eps, as (group, a, b, d)."""
+    index = pivots.build(points, group, key, vec, metric)
+    found = pivots.pairs_within(index, eps, dict(index.points.dtypes)["key"])
+    return found.select(F.col("g").alias(group), "a", "b", "d")
 
-    ``points`` holds (group, key, vec) and optionally per-row ``_eps`` /
-    ``_metric`` columns (adaptive parameters); otherwise ``eps`` / ``metric``
-    apply to all rows. Returns (group, a, b, d).
-    """
-    cols = [group, key, vec]
-    p = points
-    if "_eps" not in p.columns:
-        p = p.withColumn("_eps", F.lit(float(eps)))
-    if "_metric" not in p.columns:
-        p = p.withColumn("_metric", F.lit(metric))
-    p = p.filter(F.col(vec).isNotNull()).select(*cols, "_eps", "_metric")
-    piv = _pivots(p, group, key, vec)
-    cell = (p.join(piv, group)
-            .withColumn("_d1", distance(F.col(vec), F.col("_p1"), F.col("_metric")))
-            .withColumn("_d2", distance(F.col(vec), F.col("_p2"), F.col("_metric")))
-            .withColumn("_c1", F.floor(F.col("_d1") / F.col("_eps")))
-            .withColumn("_c2", F.floor(F.col("_d2") / F.col("_eps")))
-            .drop("_p1", "_p2"))
-    offs = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"))
-                     for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    left = (cell.select(F.col(group), F.col(key).alias("a"), F.col(vec).alias("va"),
-                        F.col("_d1").alias("d1a"), F.col("_d2").alias("d2a"),
-                        "_eps", "_metric", F.explode(offs).alias("_o"),
-                        F.col("_c1"), F.col("_c2"))
-            .select(group, "a", "va", "d1a", "d2a", "_eps", "_metric",
-                    (F.col("_c1") + F.col("_o.i")).alias("k1"), (F.col("_c2") + F.col("_o.j")).alias("k2")))
-    right = cell.select(F.col(group), F.col(key).alias("b"), F.col(vec).alias("vb"),
-                        F.col("_d1").alias("d1b"), F.col("_d2").alias("d2b"),
-                        F.col("_c1").alias("k1"), F.col("_c2").alias("k2"))
-    cand = (left.join(right, [group, "k1", "k2"])
-            .filter((F.col("a") < F.col("b"))
-                    & (F.abs(F.col("d1a") - F.col("d1b")) <= F.col("_eps"))
-                    & (F.abs(F.col("d2a") - F.col("d2b")) <= F.col("_eps"))))
-    return (cand.withColumn("d", distance(F.col("va"), F.col("vb"), F.col("_metric")))
-            .filter(F.col("d") <= F.col("_eps"))
-            .select(group, "a", "b", "d"))
+
+def kth_core_distances(points: DataFrame, k: int, group: str = "brandId", key: str = "brandSKUId",
+                       vec: str = "embedding", metric: str = "euclidean") -> DataFrame:
+    """(group, id, core), each point's exact distance to its k-th nearest other
+    point of the group; points with fewer others have no row."""
+    index = pivots.build(points, group, key, vec, metric)
+    named = index.points.select(F.col("g").alias(group), F.col("key").alias("id"), "vid")
+    return named.join(pivots.kth_distances(index, k), "vid").select(group, "id", "core")
 
 
 def both_directions(pairs: DataFrame, group: str = "brandId") -> DataFrame:
@@ -95,14 +61,11 @@ def core_distances(pairs: DataFrame, min_samples: int = 1, group: str = "brandId
 
 def mutual_reachability_edges(pairs: DataFrame, cores: DataFrame | None, eps: float | None = None,
                               group: str = "brandId") -> DataFrame:
-    """mr = max(core a, core b, d); keep edges with mr <= eps (``_eps``
-    column when present). With min_samples = 1 every core distance is <= d,
-    so mr = d and no core join is needed."""
+    """mr = max(core a, core b, d), of all pairs or of those with mr <= eps. With
+    min_samples = 1 every core distance is <= d, so mr = d and no core join is needed."""
     if cores is None:
         return pairs.withColumn("mr", F.col("d"))
     ca = cores.select(group, F.col("id").alias("a"), F.col("core").alias("ca"))
     cb = cores.select(group, F.col("id").alias("b"), F.col("core").alias("cb"))
-    lim = F.col("_eps") if "_eps" in pairs.columns else F.lit(float(eps))
-    e = pairs.join(ca, [group, "a"]).join(cb, [group, "b"])
-    e = e.withColumn("mr", F.greatest("ca", "cb", "d"))
-    return e.filter(F.col("mr") <= lim)
+    e = pairs.join(ca, [group, "a"]).join(cb, [group, "b"]).withColumn("mr", F.greatest("ca", "cb", "d"))
+    return e if eps is None else e.filter(F.col("mr") <= float(eps))

@@ -20,8 +20,10 @@ from ..operators import extract as ex
 from ..operators import results as res
 from ..operators.cluster import ClusterConfig, adaptive_params, cluster_products, clustering_stats
 from ..operators.embed import embed, read_embeddings
-from ..operators.neighbors import core_distances, eps_pairs, mutual_reachability_edges
+from ..operators import hierarchy, mst, pivots
+from ..operators.neighbors import eps_pairs, kth_core_distances, mutual_reachability_edges
 from ..operators.prepare import IdentityConfig, process_products
+from ..session import saved
 from ..sources.catalog import derive_catalog, read_table
 from . import flows
 from .oracle_views import (
@@ -403,19 +405,136 @@ def c1(spark, d):
     return p.select("brandId", "a", "b", _r6(F.col("d")).alias("d"))
 
 
-@query("C2_core_distance", _emb_sql("SELECT brandId, id, round(core, 6) AS core FROM cores", 1.25, 3))
+#: Every point's exact k-th distance, over all pairs of its brand.
+_ALL_PAIRS = """
+emb AS (SELECT CAST(label AS VARCHAR) AS brandId, vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+allp AS (SELECT a.brandId, a.id AS a, b.id AS b, list_distance(a.v, b.v) AS d
+  FROM emb a JOIN emb b ON a.brandId = b.brandId AND a.id < b.id),
+cores AS (SELECT brandId, a AS id, d AS core FROM (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY brandId, a ORDER BY d, b) AS rn
+  FROM (SELECT brandId, a, b, d FROM allp UNION ALL SELECT brandId, b, a, d FROM allp)) t WHERE rn = {ms}),
+mrp AS (SELECT *, ROW_NUMBER() OVER (ORDER BY w, a, b) AS e FROM (
+  SELECT p.brandId, p.a, p.b, p.d, greatest(ca.core, cb.core, p.d) AS w FROM allp p
+  JOIN cores ca ON ca.brandId = p.brandId AND ca.id = p.a
+  JOIN cores cb ON cb.brandId = p.brandId AND cb.id = p.b))
+"""
+
+
+@query("C2_core_distance", "WITH " + _ALL_PAIRS.format(ms=3).strip() +
+       " SELECT brandId, id, round(core, 6) AS core FROM cores")
 def c2(spark, d):
-    p = eps_pairs(flows.embedding_points(spark, d), 1.25)
-    return core_distances(p, 3).select("brandId", "id", _r6(F.col("core")).alias("core"))
+    return kth_core_distances(flows.embedding_points(spark, d), 3).select("brandId", "id", _r6(F.col("core")).alias("core"))
 
 
-@query("C3_mutual_reachability", _emb_sql("SELECT brandId, a, b, round(mr, 6) AS mr FROM mr", 1.25, 3))
+@query("C3_mutual_reachability", "WITH " + _ALL_PAIRS.format(ms=3).strip() +
+       " SELECT brandId, a, b, round(w, 6) AS mr FROM mrp WHERE d <= 1.25")
 def c3(spark, d):
-    p = eps_pairs(flows.embedding_points(spark, d), 1.25)
-    e = mutual_reachability_edges(p, core_distances(p, 3), 1.25)
+    points = flows.embedding_points(spark, d)
+    e = mutual_reachability_edges(eps_pairs(points, 1.25), kth_core_distances(points, 3))
     return e.select("brandId", "a", "b", _r6(F.col("mr")).alias("mr"))
 
 
+#: Boruvka rounds and levels of the selection that the SQL below writes out.
+_TREE_ROUNDS, _LEVELS = 9, 16
+_MIN_SAMPLES, _MIN_CLUSTER, _TREE_EPS = 3, 3, 1.12
+
+
+def _tree_sql() -> str:
+    """The minimum spanning trees, round by round, over all pairs."""
+    parts = ["c0 AS (SELECT id AS v, id AS c FROM emb)"]
+    for i in range(_TREE_ROUNDS):
+        chosen = " UNION ALL ".join(f"SELECT a, b FROM t{j}" for j in range(i + 1))
+        parts.append(f"""
+x{i} AS (SELECT m.e, m.a, m.b, p.c AS c1, q.c AS c2 FROM mrp m JOIN c{i} p ON p.v = m.a JOIN c{i} q ON q.v = m.b WHERE p.c <> q.c),
+t{i} AS MATERIALIZED (SELECT DISTINCT m.* FROM mrp m JOIN (
+  SELECT min(e) AS e FROM (SELECT c1 AS c, e FROM x{i} UNION ALL SELECT c2, e FROM x{i}) GROUP BY c) k ON k.e = m.e),
+u{i} AS (SELECT a AS p, b AS q FROM ({chosen}) UNION ALL SELECT b, a FROM ({chosen})),
+r{i}(v, c) AS (SELECT id, id FROM emb UNION SELECT u.q, r.c FROM r{i} r JOIN u{i} u ON u.p = r.v),
+c{i + 1} AS MATERIALIZED (SELECT v, min(c) AS c FROM r{i} GROUP BY v)""")
+    union = " UNION ALL ".join(f"SELECT brandId, e, a, b, w FROM t{i}" for i in range(_TREE_ROUNDS))
+    return ("WITH RECURSIVE " + _ALL_PAIRS.format(ms=_MIN_SAMPLES).strip() + ", " + ",".join(parts) +
+            f", tree AS MATERIALIZED (SELECT DISTINCT * FROM ({union}))")
+
+
+def _condensed_sql() -> str:
+    """Merge tree by reachability along lighter edges; condensed clusters; stabilities."""
+    m = _MIN_CLUSTER
+    return _tree_sql() + f""",
+k(e, v) AS (SELECT e, a FROM tree UNION SELECT e, b FROM tree
+  UNION SELECT k.e, CASE WHEN f.a = k.v THEN f.b ELSE f.a END FROM k JOIN tree f ON f.e <= k.e AND (f.a = k.v OR f.b = k.v)),
+node AS (SELECT e AS id, count(DISTINCT v) AS size,
+    (SELECT min(f.e) FROM tree f JOIN k k2 ON k2.v IN (f.a, f.b) WHERE k2.e = k.e AND f.e > k.e) AS parent FROM k GROUP BY e
+  UNION ALL SELECT -1 - id, 1, (SELECT min(e) FROM tree WHERE id IN (a, b)) FROM emb WHERE id IN (SELECT id FROM cores)),
+full_ AS MATERIALIZED (SELECT n.*, 1 / f.w AS up FROM node n LEFT JOIN tree f ON f.e = n.parent),
+split_ AS (SELECT parent FROM full_ WHERE size >= {m} AND parent IS NOT NULL GROUP BY parent HAVING count(*) = 2),
+head AS MATERIALIZED (SELECT * FROM full_ WHERE size >= {m} AND (parent IS NULL OR parent IN (SELECT parent FROM split_))),
+up(id, pos) AS (SELECT id, id FROM full_
+  UNION SELECT u.id, f.parent FROM up u JOIN full_ f ON f.id = u.pos WHERE f.parent IS NOT NULL AND u.pos NOT IN (SELECT id FROM head)),
+lab AS MATERIALIZED (SELECT id, pos AS c FROM up WHERE pos IN (SELECT id FROM head)),
+clu AS MATERIALIZED (SELECT h.id AS c, h.size, l.c AS parent, coalesce(h.up, 0) AS birth FROM head h LEFT JOIN lab l ON l.id = h.parent),
+stab AS MATERIALIZED (SELECT c.c, c.size, c.parent, c.birth, coalesce(s.s, 0) AS stability FROM clu c LEFT JOIN (
+  SELECT l.c, sum(f.size * (f.up - c2.birth)) AS s FROM full_ f JOIN full_ p ON p.id = f.parent AND p.size >= {m}
+  JOIN lab l ON l.id = f.parent JOIN clu c2 ON c2.c = l.c
+  WHERE f.size < {m} OR f.id IN (SELECT id FROM head) GROUP BY l.c) s ON s.c = c.c)"""
+
+
+def _labels_sql() -> str:
+    levels = ["s0 AS (SELECT c, parent, stability, stability AS total FROM stab WHERE parent IS NOT NULL)"]
+    for i in range(_LEVELS):
+        levels.append(f"s{i + 1} AS MATERIALIZED (SELECT s.c, s.parent, s.stability, greatest(s.stability, coalesce(k.t, s.stability)) AS total "
+                      f"FROM s{i} s LEFT JOIN (SELECT parent AS c, sum(total) AS t FROM s{i} GROUP BY 1) k ON k.c = s.c)")
+    e = _TREE_EPS
+    return _condensed_sql() + ", " + ",\n".join(levels) + f""",
+best AS (SELECT s.c, s.parent FROM s{_LEVELS} s LEFT JOIN (SELECT parent AS c, sum(total) AS t FROM s{_LEVELS} GROUP BY 1) k ON k.c = s.c
+  WHERE k.t IS NULL OR s.stability >= k.t),
+anc(c, a) AS (SELECT c, parent FROM clu WHERE parent IS NOT NULL
+  UNION SELECT x.c, p.parent FROM anc x JOIN clu p ON p.c = x.a WHERE p.parent IS NOT NULL),
+eom AS MATERIALIZED (SELECT c FROM best WHERE c NOT IN (SELECT x.c FROM anc x JOIN best b ON b.c = x.a)),
+climb(c, pos) AS (SELECT e.c, e.c FROM eom e JOIN clu ON clu.c = e.c
+  UNION SELECT x.c, p.parent FROM climb x JOIN clu p ON p.c = x.pos JOIN clu g ON g.c = p.parent
+  WHERE g.parent IS NOT NULL AND 1 / p.birth <= {e} AND (x.pos <> x.c OR 1 / p.birth < {e})),
+fin AS MATERIALIZED (SELECT DISTINCT arg_max(x.pos, n.size) AS c FROM climb x JOIN clu n ON n.c = x.pos GROUP BY x.c),
+home AS (SELECT l.id, l.c AS pos, l.c AS c0 FROM lab l WHERE l.id < 0),
+sel AS (SELECT h.id, min(CASE WHEN f.c IS NOT NULL THEN f.c END) AS c FROM (
+  SELECT id, c0 AS pos FROM home UNION SELECT h.id, x.a FROM home h JOIN anc x ON x.c = h.c0) h LEFT JOIN fin f ON f.c = h.pos GROUP BY h.id),
+mem AS (SELECT e.brandId, e.id AS brandSKUId, s.c FROM emb e LEFT JOIN sel s ON s.id = -1 - e.id),
+roots AS (SELECT brandId, c, min(brandSKUId) AS root FROM mem WHERE c IS NOT NULL GROUP BY ALL),
+ids AS (SELECT *, CAST(dense_rank() OVER (PARTITION BY brandId ORDER BY root) - 1 AS INTEGER) AS cid FROM roots)
+SELECT m.brandId, m.brandSKUId, CAST(coalesce(i.cid, -1) AS INTEGER) AS cluster_id
+FROM mem m LEFT JOIN ids i ON i.brandId = m.brandId AND i.c = m.c"""
+
+
+def _trees(spark, d):
+    index = pivots.build(flows.embedding_points(spark, d), "brandId", "brandSKUId", "embedding")
+    cores = saved(pivots.kth_distances(index, _MIN_SAMPLES))
+    return index, cores, saved(mst.spanning_trees(index, cores))
+
+
+@query("C5_spanning_tree", _tree_sql() + " SELECT brandId, a, b, round(w, 6) AS w FROM tree")
+def c5_tree(spark, d):
+    index, _, edges = _trees(spark, d)
+    name = lambda vid, key: index.points.select(F.col("vid").alias(vid), F.col("key").alias(key))
+    brand = index.points.select(F.col("vid").alias("lo"), F.col("g").alias("brandId"))
+    return (edges.join(brand, "lo").join(name("lo", "a"), "lo").join(name("hi", "b"), "hi")
+            .select("brandId", "a", "b", _r6(F.col("w")).alias("w")))
+
+
+@query("C5_condensed_tree", _condensed_sql() + """
+SELECT size::BIGINT AS size, round(birth, 6) AS birth, round(stability, 6) AS stability, parent IS NULL AS top FROM stab""")
+def c5_condensed(spark, d):
+    index, cores, edges = _trees(spark, d)
+    tree = hierarchy.merge_tree(edges, index.points.join(cores, "vid"))
+    clusters, _ = hierarchy.condensed(tree, cores, _MIN_CLUSTER)
+    return clusters.select("size", _r6(F.col("birth")).alias("birth"), _r6(F.col("stability")).alias("stability"),
+                           F.col("parent").isNull().alias("top"))
+
+
+@query("C5_hdbscan_clusters", _labels_sql())
+def c5(spark, d):
+    cfg = ClusterConfig(method="hdbscan", min_samples=_MIN_SAMPLES, min_cluster_size=_MIN_CLUSTER, epsilon=_TREE_EPS)
+    return cluster_products(flows.embedding_points(spark, d), cfg)
+
+
 @query("C4_density_clusters", _emb_sql("SELECT brandId, brandSKUId, cluster_id FROM assigned", 1.2, 1))
 def c4(spark, d):
     return flows.embedding_clusters(spark, d, 1.2, 1)
@@ -647,10 +766,11 @@ batches AS (SELECT *, CAST(1 + (ROW_NUMBER() OVER (ORDER BY product_count DESC,
   AS batch_number FROM rollup),
 ledger AS (
   SELECT 'r1' AS run_id, brandId, CASE WHEN product_count % 2 = 1 THEN 'failed' ELSE 'processed' END AS status,
-    batch_number, TIMESTAMP '2024-01-01 00:00:00' AS ts FROM batches WHERE batch_number <= 2
+    batch_number, TIMESTAMP '2023-12-31 23:30:00' AS started, TIMESTAMP '2024-01-01 00:00:00' AS ts FROM batches
   UNION ALL
-  SELECT 'r2', brandId, 'processed', batch_number, TIMESTAMP '2024-01-02 00:00:00' FROM batches WHERE batch_number = 2),
-state AS (SELECT brandId, arg_max(status, ts) AS status, arg_max(batch_number, ts) AS batch_number, max(ts) AS ts
+  SELECT 'r2', brandId, 'processed', batch_number, TIMESTAMP '2024-01-01 23:45:00', TIMESTAMP '2024-01-02 00:00:00' FROM batches WHERE batch_number % 3 <> 0),
+state AS (SELECT brandId, arg_max(status, ts) AS status, arg_max(batch_number, ts) AS batch_number,
+    arg_max(started, ts) AS started, max(ts) AS ts
   FROM ledger GROUP BY brandId)"""
 
 
@@ -659,16 +779,18 @@ def _batches(spark, d):
 
 
 def _ledger(spark, d):
+    """Every brand's first run, of which odd product counts fail, and a second run of
+    the batches whose number three does not divide."""
     b = _batches(spark, d)
-    r1 = b.filter("batch_number <= 2").select(
+    r1 = b.select(
         F.lit("r1").alias("run_id"), F.col("brandId"),
         F.when(F.col("product_count") % 2 == 1, "failed").otherwise("processed").alias("status"),
         F.lit(None).cast("string").alias("error"), "batch_number",
-        F.lit("2024-01-01 00:00:00").cast("timestamp").alias("ts"))
-    r2 = b.filter("batch_number = 2").select(
+        F.lit("2023-12-31 23:30:00").cast("timestamp").alias("started"), F.lit("2024-01-01 00:00:00").cast("timestamp").alias("ts"))
+    r2 = b.filter("batch_number % 3 <> 0").select(
         F.lit("r2").alias("run_id"), F.col("brandId"), F.lit("processed").alias("status"),
         F.lit(None).cast("string").alias("error"), "batch_number",
-        F.lit("2024-01-02 00:00:00").cast("timestamp").alias("ts"))
+        F.lit("2024-01-01 23:45:00").cast("timestamp").alias("started"), F.lit("2024-01-02 00:00:00").cast("timestamp").alias("ts"))
     return r1.unionByName(r2)
 
 
@@ -691,11 +813,11 @@ def b3(spark, d):
 
 
 @query("B4_resume_point", with_catalog(", " + _BATCHES.strip() + """,
-present AS (SELECT DISTINCT batch_number AS b FROM batches WHERE batch_number <> 3),
+present AS (SELECT batch_number AS b FROM state GROUP BY 1 HAVING bool_and(status = 'processed')),
 run AS (SELECT b, ROW_NUMBER() OVER (ORDER BY b) AS rn FROM present)
 SELECT coalesce(max(b), 0) AS last_completed, coalesce(max(b), 0) + 1 AS next_batch FROM run WHERE b = rn"""))
 def b4(spark, d):
-    return bt.resume_point(_batches(spark, d).filter("batch_number <> 3"))
+    return bt.resume_point(bt.completed_batches(_ledger(spark, d)))
 
 
 @query("B5_retry_failed", with_catalog(", " + _BATCHES.strip() + """
@@ -739,7 +861,10 @@ _BSUM = f""",
 bd AS (SELECT d.*, b.batch_number FROM detailed d JOIN batches b ON d.brandId = b.brandId),
 bs AS (SELECT s.batch_number, count(*) AS brands_in_batch,
     sum(CASE WHEN s.status = 'processed' THEN 1 ELSE 0 END) AS brands_processed,
-    sum(CASE WHEN s.status = 'failed' THEN 1 ELSE 0 END) AS brands_failed FROM state s GROUP BY s.batch_number),
+    sum(CASE WHEN s.status = 'failed' THEN 1 ELSE 0 END) AS brands_failed,
+    coalesce(string_agg(s.brandId, ',' ORDER BY s.brandId) FILTER (s.status = 'failed'), '') AS failed_list,
+    round((epoch_us(max(s.ts)) - epoch_us(min(s.started))) / 60e6, 2) AS minutes
+    FROM state s GROUP BY s.batch_number),
 bp AS (SELECT batch_number, count(*) AS total_products,
     count(DISTINCT CASE WHEN cluster_id <> -1 THEN brandId || '/' || CAST(cluster_id AS VARCHAR) END) AS total_clusters,
     sum(CASE WHEN cluster_id <> -1 THEN 1 ELSE 0 END) AS products_clustered FROM bd GROUP BY batch_number),
@@ -760,7 +885,8 @@ def o9(spark, d):
 
 
 @query("O10_global_summary", with_processed(_BSUM + """
-SELECT count(*) AS batches, sum(brands_processed) AS brands_processed, sum(brands_failed) AS brands_failed,
+SELECT count(*) AS batches, string_agg(batch_number || ':' || total_products || ':' || total_clusters, ',' ORDER BY batch_number) AS breakdown,
+  round(sum(minutes), 2) AS minutes, sum(brands_processed) AS brands_processed, sum(brands_failed) AS brands_failed,
   sum(total_products) AS total_products, sum(total_clusters) AS total_clusters,
   sum(products_clustered) AS products_clustered,
   CASE WHEN sum(total_products) > 0 THEN round(sum(products_clustered) * 100.0 / sum(total_products), 6) ELSE 0.0 END

@@ -10,7 +10,7 @@ from skufold.operators import results as res
 from skufold.plans import flows
 from skufold.sinks import writers as K
 from skufold.sources.files import read_exclusions, read_products_csv
-from skufold.streaming.incremental import incremental_upsert
+from skufold.streaming.incremental import incremental_upsert, read_master
 
 from .conftest import SF001
 
@@ -45,12 +45,12 @@ def test_sinks_and_idempotent_master(spark):
     K.write_cluster_summary(det, f"{base}/summary")
     K.write_master(det, f"{base}/master")
     K.write_master(det, f"{base}/master")
-    back = spark.read.parquet(f"{base}/master")
+    back = K.read_sink(spark, f"{base}/master")
     assert back.count() == det.count()
     K.write_batch(det, f"{base}/batches")
     n = K.write_representatives(res.representatives(det), f"{base}/reps")
     assert n == 1
-    assert spark.read.json(f"{base}/json").count() > 0
+    assert K.read_sink(spark, f"{base}/json").count() > 0
 
 
 def test_streaming_upsert_equals_batch(spark):
@@ -59,5 +59,5 @@ def test_streaming_upsert_equals_batch(spark):
     det.write.parquet(f"{base}/in/part1")
     q = incremental_upsert(spark, f"{base}/in/part1", det.schema, f"{base}/master", f"{base}/ckpt")
     q.awaitTermination(120)
-    got = spark.read.parquet(f"{base}/master").select("brandId", "brandSKUId", "cluster_id")
+    got = read_master(spark, f"{base}/master").select("brandId", "brandSKUId", "cluster_id")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, det.collect()))

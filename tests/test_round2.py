@@ -8,7 +8,7 @@ from skufold.operators.batching import brand_ledger_rows
 from skufold.operators.cluster import ClusterConfig, cluster_products
 from skufold.operators.embed import embed
 from skufold.sources.files import read_batches
-from skufold.streaming.incremental import incremental_upsert
+from skufold.streaming.incremental import incremental_upsert, read_master
 
 POINT = "brandId string, brandSKUId long, embedding array<double>"
 
@@ -64,7 +64,7 @@ def test_stream_keeps_all_files_of_a_brand(spark, tmp_path):
     arrive([("A", "1", 0), ("B", "1", 0)])
     arrive([("A", "2", 0), ("A", "3", 1)])
     arrive([("A", "1", 7)])
-    got = {(r.brandId, r.brandSKUId): r.cluster_id for r in spark.read.parquet(master).collect()}
+    got = {(r.brandId, r.brandSKUId): r.cluster_id for r in read_master(spark, master).collect()}
     assert got == {("A", "1"): 7, ("A", "2"): 0, ("A", "3"): 1, ("B", "1"): 0}
 
 
@@ -98,11 +98,11 @@ def test_vectors_do_not_depend_on_the_run_and_no_row_is_lost(spark):
 
 
 def test_brands_with_equal_clean_names_keep_their_files(spark, tmp_path):
-    from skufold.sinks.writers import write_detailed
+    from skufold.sinks.writers import read_sink, write_detailed
     df = lambda b, name, ids: spark.createDataFrame([(b, name, i) for i in ids], "brandId string, brandLabel string, brandSKUId string")
     path = str(tmp_path / "detailed")
     write_detailed(df("1", "A B", ["x", "y"]), path)
     write_detailed(df("2", "A_B", ["z"]), path)
     write_detailed(df("1", "A B", ["x"]), path)
-    got = spark.read.option("header", True).csv(path)
+    got = read_sink(spark, path)
     assert sorted((str(r.brandId), r.brandSKUId) for r in got.collect()) == [("1", "x"), ("2", "z")]
