@@ -23,6 +23,7 @@ from ..operators.embed import embed, read_embeddings
 from ..operators import hierarchy, mst, pivots
 from ..operators.neighbors import eps_pairs, kth_core_distances, mutual_reachability_edges
 from ..operators.prepare import IdentityConfig, process_products
+from ..operators.sisters import sisters
 from ..session import saved
 from ..sources.catalog import derive_catalog, read_table
 from . import flows
@@ -318,6 +319,21 @@ def p7(spark, d):
                     _r6(ph.similarity(F.col("codes"), F.col("rep_codes"))).alias("similarity")))
 
 
+@query("P7_sister_products", with_processed(f""",
+coded AS (SELECT brandId, brandSKUId, list_distinct({sql_codes('label', sql_soundex)}) AS c FROM identity),
+pairs AS (
+  SELECT a.brandSKUId AS k, len(list_intersect(a.c, b.c))::DOUBLE / len(list_distinct(list_concat(a.c, b.c))) AS s
+  FROM coded a JOIN coded b ON a.brandId = b.brandId AND a.brandSKUId <> b.brandSKUId AND len(a.c) > 0 AND len(b.c) > 0)
+SELECT coded.brandId, coded.brandSKUId, CASE WHEN len(c) > 0 THEN min(coded.brandSKUId) OVER (
+    PARTITION BY coded.brandId, list_sort(c)) END AS class_id,
+  coalesce(n, 0)::BIGINT AS n_sisters, round(top, 6) AS top_similarity
+FROM coded LEFT JOIN (SELECT k, count(*) AS n, max(s) AS top FROM pairs WHERE s >= 0.5 GROUP BY k) ON k = coded.brandSKUId"""))
+def p7_sisters(spark, d):
+    """All products of a brand whose label codes are at least half the same."""
+    coded = flows.products(spark, d).select("brandId", "brandSKUId", ph.encode(F.col("label"), "soundex").alias("codes"))
+    return sisters(coded, 0.5).withColumn("top_similarity", _r6(F.col("top_similarity")))
+
+
 # ------------------------------------------------------------- messy input
 
 def _messy(spark, d):
