@@ -6,6 +6,8 @@ Encoders:
   ``hashed``      Spark ML: RegexTokenizer -> HashingTF -> Normalizer (offline,
                   JVM-side; nothing is fitted, so a brand gets the same vectors
                   whatever else is in the run)
+  ``tfidf``       hashed terms weighed by their frequency in the brand, from
+                  ``tfidf.FrequencyStore`` (``frequencies``) or the rows given
   callable        a factory, called once per Python worker, that returns the
                   function from a batch of texts to vectors
                   (``predict_batch_udf``, Arrow batches of 32 rows)
@@ -19,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.identity import clean_identity
+from . import tfidf
 
 KEY = "brandSKUId"
 
@@ -29,8 +32,10 @@ def read_embeddings(vectors: DataFrame, key: str = "vec_id", vec: str = "embeddi
 
 
 def embed(df: DataFrame, encoder="hashed", identity: str = "core_identity", num_features: int = 384,
-          vectors: DataFrame | None = None, dim: int | None = None, batch_size: int = 32) -> DataFrame:
+          vectors: DataFrame | None = None, frequencies: DataFrame | None = None, batch_size: int = 32) -> DataFrame:
     """Add ``embedding`` (array<double|float>) for each row's cleaned identity."""
+    if encoder == "tfidf":
+        return tfidf.vectors(df, identity, frequencies, num_features)
     df = df.withColumn("_ident", clean_identity(F.col(identity)))
     if encoder == "precomputed":
         if vectors is None:

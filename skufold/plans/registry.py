@@ -24,6 +24,7 @@ from ..operators import hierarchy, mst, pivots
 from ..operators.neighbors import eps_pairs, kth_core_distances, mutual_reachability_edges
 from ..operators.prepare import IdentityConfig, process_products
 from ..operators.sisters import sisters
+from ..operators import tfidf
 from ..session import saved
 from ..sources.catalog import derive_catalog, read_table
 from . import flows
@@ -629,6 +630,22 @@ def v1(spark, d):
                       _r6(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))).alias("norm"))
 
 
+@query("V1_tfidf_weights", with_processed(r""",
+words AS (SELECT brandId, brandSKUId, unnest(regexp_split_to_array(lower(CASE WHEN trim(core_identity) = ''
+  THEN 'unknown product' ELSE trim(core_identity) END), '[^\p{L}\p{N}_]+')) AS term FROM identity),
+tf AS (SELECT brandId, brandSKUId, term, count(*) AS tf FROM words WHERE term <> '' GROUP BY ALL),
+df AS (SELECT brandId, term, count(*) AS df FROM tf GROUP BY ALL),
+n AS (SELECT brandId, count(DISTINCT brandSKUId) AS n FROM identity GROUP BY ALL),
+raw AS (SELECT brandId, brandSKUId, ('0x' || substr(md5(term), 1, 8))::BIGINT % 384 AS bucket,
+  sum(tf * (ln((n + 1)::DOUBLE / (df + 1)) + 1)) AS w
+  FROM tf JOIN df USING (brandId, term) JOIN n USING (brandId) GROUP BY ALL)
+SELECT brandId, brandSKUId, bucket::INT AS bucket,
+  round(w / sqrt(sum(w * w) OVER (PARTITION BY brandId, brandSKUId)), 6) AS weight FROM raw"""))
+def v1_tfidf(spark, d):
+    rows = tfidf.terms(flows.processed(spark, d))
+    return tfidf.weights(rows, tfidf.frequencies(rows)).withColumn("weight", _r6(F.col("weight")))
+
+
 # ------------------------------------------------- results over exact identity
 
 def _det(spark, d):
