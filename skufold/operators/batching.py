@@ -26,7 +26,8 @@ def assign_batches(brands: DataFrame, size: int, start: int = 1) -> DataFrame:
 
 def ledger_state(ledger: DataFrame) -> DataFrame:
     """Latest status per brand."""
-    last = F.max_by(F.struct("status", "error", "batch_number", "started", "ts"), F.struct("ts", "run_id"))
+    started = F.col("started") if "started" in ledger.columns else F.lit(None).cast("timestamp").alias("started")
+    last = F.max_by(F.struct("status", "error", "batch_number", started, "ts"), F.struct("ts", "run_id"))
     return ledger.groupBy("brandId").agg(last.alias("r")).select("brandId", "r.*")
 
 
