@@ -11,21 +11,25 @@ that owns the hash (first shuffle); the partition adds up its count table and
 answers every block (second shuffle); a block joins the answers to its exploded
 n-grams and sums by document. Distinct n-grams of a block travel packed, sorted
 and as differences, so an n-gram that is in every document costs one entry per
-block. N-grams of equal hash count as one.
+block. N-grams of equal hash count as one. Texts travel once, compressed by block.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ORDER, ALPHA = 3, 0.4
 #: Bytes of text in a block on average; as many hash partitions as blocks.
 BLOCK_BYTES = 8 << 20
+#: Bytes of words hashed at once; fewest numbers whose high bytes are compressed.
+CHUNK, PACKED = 1 << 20, 256
 _MIX = [np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15)]
 
 
@@ -51,9 +55,14 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     stops = np.flatnonzero(edge == -1)
     length = stops - starts
     power = np.multiply.accumulate(np.full(int(length.max()) + 1, _MIX[2] | np.uint64(1), dtype=np.uint64))
-    first = np.concatenate(([0], np.cumsum(length)))[:-1]
-    place = np.arange(int(length.sum())) - np.repeat(first, length)
-    sums = np.add.reduceat(_BYTES[raw[inside]] * power[place], first)
+    first = np.concatenate(([0], np.cumsum(length)))
+    cuts = np.unique(np.concatenate((np.searchsorted(first, np.arange(0, int(first[-1]), CHUNK)), [len(starts)])))
+    sums = np.empty(len(starts), dtype=np.uint64)
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        at, n = slice(starts[a], stops[b - 1]), length[a:b]
+        begin = first[a:b] - first[a]
+        place = np.arange(int(n.sum())) - np.repeat(begin, n)
+        sums[a:b] = np.add.reduceat(_BYTES[raw[at][inside[at]]] * power[place], begin)
     return mix(sums ^ length.astype(np.uint64)), np.searchsorted(starts, np.concatenate(([0], ends)))
 
 
@@ -70,17 +79,35 @@ def grams(texts: list[bytes], order: int) -> tuple[list[np.ndarray], list[np.nda
     return out, valid, first
 
 
-def _narrow(x: np.ndarray, widths: tuple[int, ...]) -> bytes:
-    """Unsigned integers in the least of the byte widths, which comes first."""
-    top = int(x.max()) if len(x) else 0
-    w = next(w for w in widths if top < 1 << 8 * w)
-    return bytes([w]) + np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :w]).tobytes()
+def _narrow(x: np.ndarray) -> bytes:
+    """Unsigned integers as planes of their bytes, lowest first, up to the highest
+    byte in use. The two highest planes hardly vary and are compressed."""
+    w = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
+    planes = x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :w].T
+    if len(x) < PACKED:
+        return bytes([w]) + planes.tobytes()
+    low = max(0, w - 2)
+    high = [pa.compress(p.tobytes(), codec="zstd", asbytes=True) for p in planes[low:]]
+    return b"".join([bytes([w + 8]), len(x).to_bytes(4, "little"), planes[:low].tobytes(),
+                     *[len(p).to_bytes(4, "little") + p for p in high]])
 
 
 def _wide(raw: bytes) -> np.ndarray:
     w = raw[0]
-    out = np.zeros(((len(raw) - 1) // w, 8), dtype=np.uint8)
-    out[:, :w] = np.frombuffer(raw, dtype=np.uint8, offset=1).reshape(-1, w)
+    if w <= 8:
+        n = (len(raw) - 1) // w
+        planes = [raw[1 + n * i:1 + n * (i + 1)] for i in range(w)]
+    else:
+        w, n = w - 8, int.from_bytes(raw[1:5], "little")
+        low = max(0, w - 2)
+        planes, at = [raw[5 + n * i:5 + n * (i + 1)] for i in range(low)], 5 + n * low
+        for _ in range(low, w):
+            size = int.from_bytes(raw[at:at + 4], "little")
+            planes.append(pa.decompress(raw[at + 4:at + 4 + size], n, codec="zstd", asbytes=True))
+            at += 4 + size
+    out = np.zeros((n, 8), dtype=np.uint8)
+    for i, p in enumerate(planes):
+        out[:, i] = np.frombuffer(p, dtype=np.uint8)
     return out.reshape(-1).view("<u8")
 
 
@@ -107,20 +134,39 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
     rows = docs.select(F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(parts)).cast("int").alias("block"),
                        F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            t = pa.Table.from_batches([batch]).sort_by("block")
+            number = t["block"].to_numpy()
+            starts = np.flatnonzero(np.diff(number, prepend=-1))
+            out = []
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(number)]):
+                texts = [x or b"" for x in t["text"][a:b].to_pylist()]
+                out.append((int(number[a]), t["doc_id"][a:b].to_pylist(), [len(x) for x in texts],
+                            pa.compress(b"".join(texts), codec="zstd", asbytes=True)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, x) for c, x in zip(zip(*out), (pa.int32(), pa.list_(t["doc_id"].type),
+                                                            pa.list_(pa.int64()), pa.binary()))],
+                names=["block", "ids", "sizes", "texts"])
+
     def texts_of(t: pa.Table) -> list[bytes]:
-        return [x or b"" for x in t["text"].to_pylist()]
+        out = []
+        for sizes, raw in zip(t["sizes"].to_pylist(), t["texts"].to_pylist()):
+            raw, ends = pa.decompress(raw, sum(sizes), codec="zstd", asbytes=True), np.cumsum([0, *sizes]).tolist()
+            out += [raw[a:b] for a, b in zip(ends, ends[1:])]
+        return out
 
     def ask(t: pa.Table) -> pa.Table:
         hashes, valid, first = grams(texts_of(t), order)
         block = t["block"][0].as_py()
-        out = [(0, block, 0, _narrow(np.zeros(1, dtype=np.uint64), (8,)), _narrow(first[-1:].astype(np.uint64), (8,)))]
+        out = [(0, block, 0, _narrow(np.zeros(1, dtype=np.uint64)), _narrow(first[-1:].astype(np.uint64)))]
         for k, (h, ok) in enumerate(zip(hashes, valid), 1):
             u, n = np.unique(h[ok], return_counts=True)
             ends = np.searchsorted(_owner(u, parts), np.arange(1, parts + 1, dtype=np.uint64))
             for p in np.flatnonzero(np.diff(np.concatenate(([0], ends)))).tolist():
                 a, b = int(ends[p - 1]) if p else 0, int(ends[p])
-                out.append((p, block, k, bytes(u[a:a + 1].tobytes()) + _narrow(np.diff(u[a:b]), (4, 5, 6, 7, 8)),
-                            _narrow(n[a:b], (1, 2, 4, 8))))
+                out.append((p, block, k, bytes(u[a:a + 1].tobytes()) + _narrow(np.diff(u[a:b])),
+                            _narrow(n[a:b])))
         return pa.table([pa.array(c, x) for c, x in zip(zip(*out), (pa.int32(), pa.int32(), pa.int32(), pa.binary(),
                                                                    pa.binary()))],
                         names=["part", "block", "k", "hashes", "counts"])
@@ -141,7 +187,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
             _, at = np.unique(np.concatenate(keys), return_inverse=True)
             total = np.bincount(at, weights=np.concatenate([_wide(counts[i]) for i in own])).astype(np.uint64)
             ends = np.cumsum([len(x) for x in keys])
-            out += [(blocks[i], k, t["part"][0].as_py(), _narrow(total[at[e - len(x):e]], (1, 2, 4, 8)))
+            out += [(blocks[i], k, t["part"][0].as_py(), _narrow(total[at[e - len(x):e]]))
                     for i, x, e in zip(own, keys, ends)]
         return pa.table([pa.array(c, x) for c, x in zip(zip(*out), (pa.int32(), pa.int32(), pa.int32(), pa.binary()))],
                         names=["block", "k", "part", "totals"])
@@ -178,10 +224,12 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
         by = lambda x: np.bincount(of, weights=x, minlength=texts)
         total = by(value).astype(float)
         score = [t / m if m else None for t, m in zip(total.tolist(), lens.tolist())]
-        return pa.table([left["doc_id"], pa.array(lens.astype(np.int64)), pa.array(total), pa.array(score, pa.float64()),
+        ids = pc.list_flatten(left["ids"])
+        return pa.table([ids, pa.array(lens.astype(np.int64)), pa.array(total), pa.array(score, pa.float64()),
                          pa.array(by(level < most).astype(np.int64)), pa.array(by(level == 0).astype(np.int64))],
                         names=["doc_id", "n_words", "logprob", "score", "backoffs", "unseen"])
 
+    rows = rows.mapInArrow(pack, f"block int, ids array<{id_type}>, sizes array<long>, texts binary")
     asked = rows.groupBy("block").applyInArrow(ask, "part int, block int, k int, hashes binary, counts binary")
     answered = asked.groupBy("part").applyInArrow(answer, "block int, k int, part int, totals binary")
     return (rows.groupBy("block").cogroup(answered.groupBy("block"))
