@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import numpy as np
 
@@ -88,6 +89,16 @@ def test_language_of_whole_and_mixed_texts(spark):
     assert langid.predict(odd.limit(0), model).count() == 0
 
 
+def test_language_sample_beside_a_hot_id_and_scripts(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MAX_PER_LANG", 4)
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 3 != 1]
+    rows = [(ids[0], "bolo molo", "aa")] * 400 + [(i, "bolo kolo", "aa") for i in ids[1:20]] + [(ids[20], "слово дело", "ru")]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.langs == ["aa", "ru"]
+    # a word takes no language of another script, however dear the switches
+    assert [s[2] for s in model.spans(["bolo слово kolo"])[0]] == ["aa", "ru", "aa"]
+
+
 def _noisy(spark, rows):
     docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
     return docs, spark.createDataFrame([(i, 0, x) for i, (_, x) in enumerate(rows)], "doc_id long, quality int, toxic int")
