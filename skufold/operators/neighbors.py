@@ -12,9 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import saved
 from . import pivots
 
 
+
 def eps_pairs(points: DataFrame, eps: float, group: str = "brandId", key: str = "brandSKUId",
               vec: str = "embedding", metric: str = "euclidean") -> DataFrame:
     """All pairs (a < b) in the same group with distance <= eps, as (group, a, b, d)."""
@@ -32,6 +34,16 @@ def kth_core_distances(points: DataFrame, k: int, group: str = "brandId", key: s
     return named.join(pivots.kth_distances(index, k), "vid").select(group, "id", "core")
 
 
+def mutual_reachability(points: DataFrame, eps: float, k: int, group: str = "brandId", key: str = "brandSKUId",
+                        vec: str = "embedding", metric: str = "euclidean") -> DataFrame:
+    """(group, a, b, d, mr) of all pairs at most eps apart whose points have a core
+    distance to the k-th neighbour; mr is taken where the vectors meet, no pair is joined."""
+    index = pivots.build(points, group, key, vec, metric)
+    cores = pivots.kth_distances(index, k).transform(saved)
+    found = pivots.pairs_within(index, eps, dict(index.points.dtypes)["key"], cores)
+    return found.select(F.col("g").alias(group), "a", "b", "d", "mr")
+
+
 def both_directions(pairs: DataFrame, group: str = "brandId") -> DataFrame:
     return pairs.select(group, "a", "b", "d").union(
         pairs.select(group, F.col("b").alias("a"), F.col("a").alias("b"), "d"))

@@ -31,6 +31,11 @@ from .batches import whole_groups
 from .sizing import cpu_partitions
 
 BLOCK, SUPER = 128, 32
+#: Blocks on a side of a tile, in these limits so many that every core has some; a
+#: task holds twice that.
+LEAST_TILE, MOST_TILE = 16, 128
+#: Rows that a tile returns at once.
+ROWS_AT_ONCE = 1 << 15
 #: Pivots per brand: about the root of its points, in these limits.
 LEAST_PIVOTS, MOST_PIVOTS = 4, 48
 ROWS_PER_SALT = 8192
@@ -42,9 +47,10 @@ SLACK, SLACK_SQ = 1e-9, 1e-11
 class PointIndex:
     """blocks: (g, block, super, vids, keys, copies, v, lo, hi), v the vectors one after
     the other; points: (g, vid, key, copies, block, pos); vids number the points in
-    the order of (g, key)."""
+    the order of (g, key); tiles: (block, tile), runs of a brand's blocks."""
     blocks: DataFrame
     points: DataFrame
+    tiles: DataFrame
     metric: str
 
 
@@ -95,8 +101,9 @@ def build(points: DataFrame, group: str, key: str, vec: str, metric: str = "eucl
           copies: str | None = None) -> PointIndex:
     spark = points.sparkSession
     n = cpu_partitions(spark)
+    number = "float" if dict(points.dtypes)[vec] == "array<float>" else "double"  # tasks compute with doubles
     rows = numbered(points.filter(F.col(vec).isNotNull()).select(
-        F.col(group).alias("g"), F.col(key).alias("key"), F.col(vec).cast("array<double>").alias("v"),
+        F.col(group).alias("g"), F.col(key).alias("key"), F.col(vec).cast(f"array<{number}>").alias("v"),
         (F.col(copies) if copies else F.lit(1)).cast("long").alias("copies")), ["g", "key"])
     kinds = dict(rows.dtypes)
     size = F.col("n")
@@ -112,7 +119,7 @@ def build(points: DataFrame, group: str, key: str, vec: str, metric: str = "eucl
                       F.col("v").alias("pv")))
     salted = rows.join(brands.select("g", "salts"), "g").withColumn(
         "salt", F.pmod(F.xxhash64("vid"), F.col("salts")).cast("int")).drop("salts")
-    schema = (f"g {kinds['g']}, vid long, key {kinds['key']}, copies long, v array<double>, "
+    schema = (f"g {kinds['g']}, vid long, key {kinds['key']}, copies long, v array<{number}>, "
               "p1 int, p2 int, p3 int, d array<double>")
 
     def distances(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -131,7 +138,7 @@ def build(points: DataFrame, group: str, key: str, vec: str, metric: str = "eucl
     order = ["g", "p1", "p2", "p3", "vid"]
     dealt = placed.repartitionByRange(n, *order).sortWithinPartitions(*order)
     out = (f"g {kinds['g']}, block long, super long, vids array<long>, keys array<{kinds['key']}>, "
-           "copies array<long>, v array<double>, lo array<double>, hi array<double>")
+           f"copies array<long>, v array<{number}>, lo array<double>, hi array<double>")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -157,7 +164,10 @@ def build(points: DataFrame, group: str, key: str, vec: str, metric: str = "eucl
     points_ = (blocks.select("g", "block", inside.alias("pos", "x"))
                .select("g", F.col("x.vids").alias("vid"), F.col("x.keys").alias("key"),
                        F.col("x.copies").alias("copies"), "block", "pos"))
-    return PointIndex(blocks, points_, metric)
+    runs = numbered(blocks.select("g", "block"), ["g", "block"], "i")
+    side = min(MOST_TILE, max(LEAST_TILE, runs.count() // spark.sparkContext.defaultParallelism))
+    tiles = runs.select("block", F.floor(F.col("i") / side).alias("tile")).transform(saved)
+    return PointIndex(blocks, points_, tiles, metric)
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,54 +214,88 @@ def near_blocks(index: PointIndex, radius: DataFrame) -> DataFrame:
 
 
 def meet(index: PointIndex, pairs: DataFrame, fn, schema: str, state: DataFrame | None = None,
-         named: bool = False) -> DataFrame:
-    """fn(row of block, row of other, metric) -> columns, for each pair (block, other).
+         named: bool = False, whole: bool = False) -> DataFrame:
+    """fn(row of block, row of other, same, metric) -> columns, for each pair (block, other).
 
     A row is a dict of arrays of a block: keys, vids, copies, x (vectors), and what
     ``state`` (block, s: array of structs in the blocks' order) holds for its points.
-    ``named``: the brand comes first.
+    ``named``: the brand comes first. ``whole``: fn(iterator of (row, row, same), metric) ->
+    columns, for all pairs of a tile at once.
     """
     metric = index.metric
-    body = index.blocks.select("block", "vids", "keys", "copies", "v")
+    body = index.blocks.select("block", "g", "vids", "keys", "copies", "v")
     names = ["vids", "keys", "copies", "v"]
     if state is not None:
         body = body.join(state, "block")
         names.append("s")
-    prefixed = lambda p, name: body.select(F.col("block").alias(name), *[F.col(c).alias(p + c) for c in names])
-    if named:
-        pairs = pairs.join(index.blocks.select("block", "g"), "block")
-    rows = (pairs.join(prefixed("a_", "block"), "block").join(prefixed("b_", "other"), "other")
-            .repartition(cpu_partitions(body.sparkSession), "block", "other"))
+    at = lambda block, tile: index.tiles.select(F.col("block").alias(block), F.col("tile").alias(tile))
+    ends = pairs.join(at("block", "ta"), "block").join(at("other", "tb"), "other")
+    sent = F.explode(F.array(F.struct(F.col("block"), F.array("other").alias("others")),
+                             F.struct(F.col("other").alias("block"), F.array().cast("array<bigint>").alias("others"))))
+    members = (ends.select("ta", "tb", sent.alias("x")).groupBy("ta", "tb", F.col("x.block").alias("block"))
+               .agg(F.flatten(F.collect_list("x.others")).alias("others")))
+    rows = members.join(body, "block").repartition(cpu_partitions(body.sparkSession), "ta", "tb")
     out_names = [f.strip().split(" ")[0] for f in schema.split(",")]
 
+    def side(batch: pa.RecordBatch, k: int) -> dict:
+        cell = {c: batch.column(c)[k].values for c in names}
+        row = {"vids": cell["vids"].to_numpy(), "keys": cell["keys"], "copies": cell["copies"].to_numpy()}
+        row["x"] = matrix(cell["v"], len(row["vids"]))
+        if "s" in cell:
+            s = cell["s"]
+            row |= {s.type.field(i).name: s.field(i).to_numpy(zero_copy_only=False) for i in range(s.type.num_fields)}
+        return row
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sides, todo = {}, []
         for batch in batches:
             for k in range(batch.num_rows):
-                sides = []
-                for p in ("a_", "b_"):
-                    cell = {c: batch.column(p + c)[k].values for c in names}
-                    side = {"vids": cell["vids"].to_numpy(), "keys": cell["keys"], "copies": cell["copies"].to_numpy()}
-                    side["x"] = matrix(cell["v"], len(side["vids"]))
-                    if "s" in cell:
-                        s = cell["s"]
-                        side |= {s.type.field(i).name: s.field(i).to_numpy(zero_copy_only=False)
-                                 for i in range(s.type.num_fields)}
-                    sides.append(side)
-                same = batch.column("block")[k].as_py() == batch.column("other")[k].as_py()
-                columns = fn(*sides, same, metric)
-                if columns is not None:
-                    columns = [pa.array(c) if isinstance(c, np.ndarray) else c for c in columns]
-                    if named:
-                        columns.insert(0, pa.repeat(batch.column("g")[k], len(columns[0])))
-                    yield pa.RecordBatch.from_arrays(columns, out_names)
-    return rows.mapInArrow(run, schema)
-
-
-def pairs_within(index: PointIndex, eps: float, key_type: str) -> DataFrame:
-    """(g, a, b, d): keys of all pairs of points at most eps apart, the one that
-    comes first as a."""
+                block = batch.column("block")[k].as_py()
+                sides[block] = side(batch, k), batch.column("g")[k]
+                todo += [(block, other) for other in batch.column("others")[k].as_py()]
+        met = ((sides[a][0], sides[b][0], a == b) for a, b in todo)
+        found = [fn(met, metric)] if whole else (fn(*x, metric) for x in met)
+        ready, many = [], 0
+        for (block, _), columns in zip(todo, found):
+            if columns is None or not len(columns[0]):
+                continue
+            columns = [pa.array(c) if isinstance(c, np.ndarray) else c for c in columns]
+            if named:
+                columns.insert(0, pa.repeat(sides[block][1], len(columns[0])))
+            ready.append(pa.RecordBatch.from_arrays(columns, out_names))
+            many += ready[-1].num_rows
+            if many >= ROWS_AT_ONCE:
+                yield from pa.Table.from_batches(ready).combine_chunks().to_batches()
+                ready, many = [], 0
+        if ready:
+            yield from pa.Table.from_batches(ready).combine_chunks().to_batches()
+    return rows.groupBy("ta", "tb").applyInArrow(_typed(run), schema)
+
+
+def _typed(run):
+    """The hints by which Spark knows a function of batches (postponed ones name no types)."""
+    run.__annotations__ = {"batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
+    return run
+
+
+def _within(index: PointIndex, eps: float) -> DataFrame:
     reach = index.blocks.select("block", F.lit(float(eps)).alias("r"))
-    pairs = near_blocks(index, reach).filter("block <= other")
+    return near_blocks(index, reach).filter("block <= other")
+
+
+def core_states(index: PointIndex, cores: DataFrame) -> DataFrame:
+    """(block, s) with each point's core distance, infinite for points without."""
+    placed = (index.points.select("vid", "block", "pos").join(cores, "vid", "left")
+              .withColumn("core", F.coalesce("core", F.lit(float("inf")))))
+    return placed.groupBy("block").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "core"))),
+                                                   lambda x: F.struct(x["core"].alias("core"))).alias("s"))
+
+
+def pairs_within(index: PointIndex, eps: float, key_type: str, cores: DataFrame | None = None) -> DataFrame:
+    """(g, a, b, d): keys of all pairs of points at most eps apart, the one that
+    comes first as a. With ``cores`` (vid, core) also mr, the mutual reachability, of the
+    pairs of points that have a core distance."""
+    pairs = _within(index, eps)
 
     def compare(a: dict, b: dict, same: bool, metric: str):
         d, off = rough(a["x"], b["x"], metric)
@@ -263,10 +307,62 @@ def pairs_within(index: PointIndex, eps: float, key_type: str) -> DataFrame:
         i, j, d = i[ok], j[ok], d[ok]
         swap = a["vids"][i] > b["vids"][j]
         keys = pa.concat_arrays([a["keys"], b["keys"]])
+        mr = ()
+        if "core" in a:
+            mr = (np.maximum(np.maximum(a["core"][i], b["core"][j]), d),)
+            ok = mr[0] < np.inf
+            i, j, d, swap, mr = i[ok], j[ok], d[ok], swap[ok], (mr[0][ok],)
         j = j + len(a["vids"])
-        return keys.take(pa.array(np.where(swap, j, i))), keys.take(pa.array(np.where(swap, i, j))), d
+        return keys.take(pa.array(np.where(swap, j, i))), keys.take(pa.array(np.where(swap, i, j))), d, *mr
     kind = dict(index.points.dtypes)["g"]
-    return meet(index, pairs, compare, f"g {kind}, a {key_type}, b {key_type}, d double", named=True)
+    schema = f"g {kind}, a {key_type}, b {key_type}, d double" + (", mr double" if cores is not None else "")
+    return meet(index, pairs, compare, schema, core_states(index, cores) if cores is not None else None, named=True)
+
+
+def _hang(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Joins the parts of i and j in place; root names each point's part by its least point."""
+    while True:
+        a, b = root[i], root[j]
+        apart = a != b
+        if not apart.any():
+            return
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while True:
+            up = root[root]
+            if (up == root).all():
+                break
+            root[:] = up
+
+
+def links_within(index: PointIndex, eps: float, cores: DataFrame | None = None) -> DataFrame:
+    """(a, b): vids whose links connect what all pairs within eps connect (with ``cores``:
+    pairs whose mutual reachability is within eps). A tile returns a star for each of its
+    connected parts, so there are never more links than points in the tiles."""
+    def connect(met, metric: str):
+        start, vids, root = {}, [], np.empty(0, np.int64)
+        for a, b, same in met:
+            for x in (a, b):
+                if id(x) not in start:
+                    start[id(x)] = len(root)
+                    vids.append(x["vids"])
+                    root = np.concatenate((root, np.arange(len(root), len(root) + len(x["vids"]))))
+            at, to = start[id(a)], start[id(b)]
+            p, q = root[at:at + len(a["vids"])], root[to:to + len(b["vids"])]
+            if len(p) and (p == p[0]).all() and (q == p[0]).all():
+                continue
+            d, off = rough(a["x"], b["x"], metric)
+            near = (d <= eps + off) & (p[:, None] != q)
+            if "core" in a:
+                near &= (a["core"] <= eps)[:, None] & (b["core"] <= eps)
+            i, j = np.nonzero(near)
+            ok = exact(a["x"][i], b["x"][j], metric) <= eps
+            _hang(root, at + i[ok], to + j[ok])
+        vids = np.concatenate(vids)
+        i = np.flatnonzero(root != np.arange(len(root)))
+        return vids[i], vids[root[i]]
+    state = core_states(index, cores) if cores is not None else None
+    return meet(index, _within(index, eps), connect, "a long, b long", state, whole=True)
 
 
 def _upper_bounds(a: dict, b: dict, same: bool, metric: str, k: int):
@@ -300,21 +396,31 @@ def kth_distances(index: PointIndex, k: int) -> DataFrame:
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "r"))), lambda x: F.struct(x["r"].alias("r"))).alias("s"))
     radius = placed.groupBy("block").agg(F.max("r").alias("r"))
 
-    def nearest(a: dict, b: dict, same: bool, metric: str):
-        d, off = rough(a["x"], b["x"], metric)
-        i, j = np.nonzero(d <= a["r"][:, None] + off)
-        d = exact(a["x"][i], b["x"][j], metric)
-        copies = b["copies"][j] - (same & (i == j))
-        some = copies > 0
-        i, d, copies = i[some], d[some], copies[some]
-        order = np.lexsort((d, i))
-        i, d, copies = i[order], d[order], copies[order]
-        first = np.searchsorted(i, i)
-        total = np.cumsum(copies)
-        before = total - copies - (total - copies)[first]
-        keep = before < k
-        return a["vids"][i[keep]], d[keep], copies[keep]
-    found = meet(index, near_blocks(index, radius), nearest, "vid long, d double, copies long", state)
+    def nearest(met, metric: str):
+        best = {}  # of each block: what its points have found, and how far they still look
+        for a, b, same in met:
+            *had, r = best.get(id(a), (*_NOTHING, a["r"]))
+            d, off = rough(a["x"], b["x"], metric)
+            i, j = np.nonzero(d <= r[:, None] + off)
+            d = exact(a["x"][i], b["x"][j], metric)
+            copies = b["copies"][j] - (same & (i == j))
+            some = copies > 0
+            i, d, copies = (np.concatenate(x) for x in zip(had[1:], (i[some], d[some], copies[some])))
+            order = np.lexsort((d, i))
+            i, d, copies = i[order], d[order], copies[order]
+            first = np.searchsorted(i, i)
+            total = np.cumsum(copies)
+            before = total - copies - (total - copies)[first]
+            keep = before < k
+            enough = keep & (before + copies >= k)
+            r = r.copy()
+            r[i[enough]] = np.minimum(r[i[enough]], d[enough])
+            best[id(a)] = a["vids"], i[keep], d[keep], copies[keep], r
+        return tuple(np.concatenate(x) for x in zip(*((v[i], d, c) for v, i, d, c, _ in best.values())))
+    found = meet(index, near_blocks(index, radius), nearest, "vid long, d double, copies long", state, whole=True)
     run = Window.partitionBy("vid").orderBy("d").rowsBetween(Window.unboundedPreceding, 0)
     return (found.withColumn("run", F.sum("copies").over(run)).filter(F.col("run") >= k)
             .groupBy("vid").agg(F.min("d").alias("core")))
+
+
+_NOTHING = (None, np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64))
