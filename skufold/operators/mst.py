@@ -56,19 +56,32 @@ def _lightest(i: np.ndarray, w: np.ndarray, p: np.ndarray, q: np.ndarray):
     return i, w[at], lo[at], hi[at]
 
 
-def _search(a: dict, b: dict, same: bool, metric: str):
-    """Lightest edge of each point of a that looks (reach >= 0) to b's points of other components."""
-    rows = np.flatnonzero(a["reach"] >= 0)
-    if not len(rows):
-        return None
-    d, off = rough(a["x"][rows], b["x"], metric)
-    mr = np.maximum(np.maximum(d, a["core"][rows, None]), b["core"])
-    mr[a["comp"][rows, None] == b["comp"]] = np.inf
-    least = mr.min(axis=1)
-    i, j = np.nonzero((mr <= np.minimum(least + 2 * off, a["reach"][rows] + off)[:, None]) & (mr < np.inf))
-    w = np.maximum(np.maximum(exact(a["x"][rows[i]], b["x"][j], metric), a["core"][rows[i]]), b["core"][j])
-    i, w, lo, hi = _lightest(i, w, a["vids"][rows[i]], b["vids"][j])
-    return a["vids"][rows[i]], w, lo, hi
+def _search(met, metric: str):
+    """Lightest edge of each point that looks (reach >= 0) to points of other components,
+    over all blocks that its block meets; what it has found bounds how far it still looks."""
+    best = {}
+    for a, b, _ in met:
+        if id(a) not in best:
+            best[id(a)] = a, a["reach"].copy(), []
+        _, reach, edges = best[id(a)]
+        rows = np.flatnonzero(reach >= 0)
+        if not len(rows):
+            continue
+        d, off = rough(a["x"][rows], b["x"], metric)
+        mr = np.maximum(np.maximum(d, a["core"][rows, None]), b["core"])
+        mr[a["comp"][rows, None] == b["comp"]] = np.inf
+        least = mr.min(axis=1)
+        i, j = np.nonzero((mr <= np.minimum(least + 2 * off, reach[rows] + off)[:, None]) & (mr < np.inf))
+        w = np.maximum(np.maximum(exact(a["x"][rows[i]], b["x"][j], metric), a["core"][rows[i]]), b["core"][j])
+        i, w, lo, hi = _lightest(rows[i], w, a["vids"][rows[i]], b["vids"][j])
+        reach[i] = np.minimum(reach[i], w)
+        edges.append((i, w, lo, hi))
+    found = []
+    for a, _, edges in best.values():
+        if edges:
+            i, w, lo, hi = _lightest(*(np.concatenate(x) for x in zip(*edges)))
+            found.append((a["vids"][i], w, lo, hi))
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else None
 
 
 FOUND = "vid long, w double, lo long, hi long"
@@ -111,7 +124,7 @@ def _found(index: PointIndex, look: DataFrame) -> DataFrame:
     uniform = blocks.select(F.col("block").alias("other"), F.col("c0").alias("d0"), F.col("c1").alias("d1"))
     pairs = (near_blocks(index, blocks.filter("r >= 0").select("block", "r")).join(blocks.drop("r"), "block")
              .join(uniform, "other").filter("not (c0 = c1 and d0 = d1 and c0 = d0)").select("block", "other"))
-    return (meet(index, pairs, _search, FOUND, _states(look, "core", "comp", "reach"))
+    return (meet(index, pairs, _search, FOUND, _states(look, "core", "comp", "reach"), whole=True)
             .groupBy("vid").agg(F.min(_edge()).alias("f")))
 
 
@@ -124,7 +137,7 @@ def spanning_trees(index: PointIndex, cores: DataFrame) -> DataFrame:
     first = _states(state.transform(saved), "core", "comp", "reach")
     own = index.blocks.select("block", F.col("block").alias("other"))
     path = _path(index, first).filter(F.col("w") < float("inf")).transform(saved)
-    near = meet(index, own, _search, FOUND, first).filter(F.col("w") < float("inf"))
+    near = meet(index, own, _search, FOUND, first, whole=True).filter(F.col("w") < float("inf"))
     # known: no edge outside the component is lighter than w
     now = (points.withColumn("comp", F.col("vid")).join(near, "vid", "left")
            .withColumn("known", F.lit(False)).transform(saved))

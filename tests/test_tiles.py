@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from skufold.operators import pivots
+from skufold.operators import mst, pivots
 from skufold.operators.components import connected_components
 from skufold.operators.neighbors import kth_core_distances, mutual_reachability
 from skufold.session import saved
@@ -79,3 +79,14 @@ def test_mutual_reachability_against_brute_force(spark, small_tiles, k):
     found = {r.id: r.core for r in kth_core_distances(df, k).collect()}
     assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-9 for x in want)
     assert found.keys() == cores.keys() and all(abs(found[x] - cores[x]) < 1e-9 for x in cores)
+
+
+def test_a_search_returns_a_row_per_point_and_tile(spark, small_tiles):
+    index = pivots.build(spark.createDataFrame(vectors(), SCHEMA), "brandId", "brandSKUId", "embedding")
+    look = index.points.selectExpr("vid", "block", "pos", "0.0D as core", "vid as comp", "9.0D as reach")
+    states = mst._states(look, "core", "comp", "reach")
+    pairs = pivots.near_blocks(index, index.blocks.selectExpr("block", "9.0D as r"))
+    rows = pivots.meet(index, pairs, mst._search, mst.FOUND, states, whole=True)
+    tiles = index.tiles.select("tile").distinct().count()
+    seen = rows.groupBy("vid").count().collect()
+    assert len(seen) == len(vectors()) and max(r["count"] for r in seen) <= tiles < index.blocks.count()
