@@ -291,10 +291,21 @@ def core_states(index: PointIndex, cores: DataFrame) -> DataFrame:
                                                    lambda x: F.struct(x["core"].alias("core"))).alias("s"))
 
 
+def _key_cores(index: PointIndex, cores: DataFrame) -> DataFrame:
+    """(block, s) with the core distances of all points of each point's brand and key:
+    one, or several where a key repeats, or none."""
+    points = index.points.select("g", "key", "vid", "block", "pos")
+    known = points.join(cores, "vid").groupBy("g", "key").agg(F.collect_list("core").alias("cores"))
+    placed = points.join(known, ["g", "key"], "left").withColumn(
+        "cores", F.coalesce("cores", F.array().cast("array<double>")))
+    return placed.groupBy("block").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "cores"))),
+                                                   lambda x: F.struct(x["cores"].alias("cores"))).alias("s"))
+
+
 def pairs_within(index: PointIndex, eps: float, key_type: str, cores: DataFrame | None = None) -> DataFrame:
     """(g, a, b, d): keys of all pairs of points at most eps apart, the one that
-    comes first as a. With ``cores`` (vid, core) also mr, the mutual reachability, of the
-    pairs of points that have a core distance."""
+    comes first as a. With ``cores`` (vid, core) also mr, the mutual reachability, a row for
+    each two core distances of their keys; pairs of which one has none are left out."""
     pairs = _within(index, eps)
 
     def compare(a: dict, b: dict, same: bool, metric: str):
@@ -305,18 +316,23 @@ def pairs_within(index: PointIndex, eps: float, key_type: str, cores: DataFrame
         d = exact(a["x"][i], b["x"][j], metric)
         ok = d <= eps
         i, j, d = i[ok], j[ok], d[ok]
+        mr = ()
+        if "cores" in a:
+            m, n = (np.array([len(c) for c in x["cores"]]) for x in (a, b))
+            flat_a, flat_b = (np.concatenate([*x["cores"], np.empty(0)]) for x in (a, b))
+            many = m[i] * n[j]
+            place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            i, j, d = np.repeat(i, many), np.repeat(j, many), np.repeat(d, many)
+            ca = flat_a[(np.cumsum(m) - m)[i] + place // np.maximum(n[j], 1)]
+            cb = flat_b[(np.cumsum(n) - n)[j] + place % np.maximum(n[j], 1)]
+            mr = (np.maximum(np.maximum(ca, cb), d),)
         swap = a["vids"][i] > b["vids"][j]
         keys = pa.concat_arrays([a["keys"], b["keys"]])
-        mr = ()
-        if "core" in a:
-            mr = (np.maximum(np.maximum(a["core"][i], b["core"][j]), d),)
-            ok = mr[0] < np.inf
-            i, j, d, swap, mr = i[ok], j[ok], d[ok], swap[ok], (mr[0][ok],)
         j = j + len(a["vids"])
         return keys.take(pa.array(np.where(swap, j, i))), keys.take(pa.array(np.where(swap, i, j))), d, *mr
     kind = dict(index.points.dtypes)["g"]
     schema = f"g {kind}, a {key_type}, b {key_type}, d double" + (", mr double" if cores is not None else "")
-    return meet(index, pairs, compare, schema, core_states(index, cores) if cores is not None else None, named=True)
+    return meet(index, pairs, compare, schema, _key_cores(index, cores) if cores is not None else None, named=True)
 
 
 def _hang(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from skufold.operators import mst, pivots
+from skufold.operators.cluster import ClusterConfig, density_clusters
 from skufold.operators.components import connected_components
 from skufold.operators.neighbors import kth_core_distances, mutual_reachability
 from skufold.session import saved
@@ -90,3 +91,18 @@ def test_a_search_returns_a_row_per_point_and_tile(spark, small_tiles):
     tiles = index.tiles.select("tile").distinct().count()
     seen = rows.groupBy("vid").count().collect()
     assert len(seen) == len(vectors()) and max(r["count"] for r in seen) <= tiles < index.blocks.count()
+
+
+def test_a_repeated_key_has_all_its_core_distances(spark):
+    """A key with two core distances gives each of its pairs a row for either."""
+    rows = [("g", 1, [0.0, 0.0]), ("g", 1, [1.0, 0.0]), ("g", 2, [0.0, 0.5]), ("g", 3, [5.0, 5.0])]
+    got = sorted((r.a, r.b, round(r.mr, 6)) for r in mutual_reachability(spark.createDataFrame(rows, SCHEMA), 0.6, 1).collect())
+    assert got == [(1, 2, 0.5), (1, 2, 1.0)]
+
+
+def test_points_of_one_key_are_one_vertex(spark):
+    """Two vectors of a key join what lies near either; no row is multiplied."""
+    rows = [("g", 1, [0.0, 0.0]), ("g", 1, [9.0, 0.0]), ("g", 2, [0.1, 0.0]), ("g", 3, [9.1, 0.0]), ("g", 4, [5.0, 5.0])]
+    found = density_clusters(spark.createDataFrame(rows, SCHEMA), ClusterConfig(epsilon=0.2))
+    # the last step joins by vector: one row per vector that a key's rows have in the cluster
+    assert {(r.brandSKUId, r.cluster_id) for r in found.collect()} == {(1, 0), (2, 0), (3, 0), (4, -1)}
