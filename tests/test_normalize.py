@@ -89,3 +89,12 @@ def test_python_word_classes(spark):
 def test_strip_unicode_spaces(spark):
     df = spark.createDataFrame([("  tea  ",)], "s string")
     assert df.select(rx.strip(F.col("s")).alias("x")).first().x == "tea"
+
+
+def test_rows_are_dealt_to_all_cores(spark):
+    """One small partition of rows, whose work is regexes, does not stay one task."""
+    rows = spark.range(400).selectExpr("id as brandSKUId", "concat('soap ', id, ' 50g') as label", "'x' as categoryLabel",
+                                       "'b' as brandLabel").coalesce(1)
+    tasks = process_products(rows).select(F.spark_partition_id().alias("p"), "normalized_name").filter(
+        "normalized_name is not null").groupBy("p").count().collect()
+    assert len(tasks) >= 8 and sum(t["count"] for t in tasks) == 400
