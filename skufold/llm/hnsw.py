@@ -7,14 +7,14 @@ their neighbours, padded to a fixed width. Nodes are inserted from the highest
 layer down in waves: each wave searches the graph so far (all its members in
 step, as numpy array work), adds its own members as candidates, picks diverse
 neighbours and links back, pruning full lists by the same rule. Queries go to
-every shard in blocks; the shards' results are merged by exact cosine.
+every shard in blocks, some blocks to each copy of its graph; the shards' results are
+merged by exact cosine.
 """
 
 from __future__ import annotations
 
 import math
 import pickle
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,6 +28,8 @@ from .common import written
 M, M0, BUILD_BEAM, SEARCH_BEAM = 16, 32, 96, 128
 #: Distinct vectors of a shard, queries of a block, and nodes of a wave at most.
 SHARD_ROWS, QUERY_BLOCK, WAVE = 8192, 1024, 256
+#: Blocks of queries that meet a graph at once: about as many queries as it has vectors.
+BLOCKS_AT_ONCE = 8
 
 
 @dataclass
@@ -251,18 +253,21 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
                          pa.array([v.astype("<f8").tobytes()], pa.binary())], names=["block", "dim", "ids", "vectors"])
     packed = (asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
               .groupBy("block", "dim").applyInArrow(pack, "block int, dim int, ids binary, vectors binary"))
-    pairs = (packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-             .join(graphs, ["shard", "dim"]).select("dim", "ids", "vectors", "graph"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = loaded = None
-        for b in batches:
-            for dim, ids, vectors, graph in zip(*(c.to_pylist() for c in b.columns)):
-                if graph != last:
-                    last, loaded = graph, _loaded(graph, dim)
-                node_ids, v, layers = loaded
-                own, q = np.frombuffer(ids, dtype="<i8"), np.frombuffer(vectors, dtype="<f8").reshape(-1, dim)
-                norms, out = np.linalg.norm(v, axis=1), []
+    # a co-group is shuffled whatever the sizes; a join's smaller side, all queries times all shards, goes over the driver
+    parts = math.ceil(blocks / BLOCKS_AT_ONCE)
+    sent = (packed.withColumn("part", F.floor(F.col("block") / BLOCKS_AT_ONCE).cast("int"))
+            .select("dim", "part", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "ids", "vectors"))
+    copies = graphs.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    keys = ["shard", "dim", "part"]
+
+    def run(graph: pa.Table, asked: pa.Table) -> pa.Table:
+        cols = [], [], []
+        if len(graph) and len(asked):
+            dim = graph["dim"][0].as_py()
+            node_ids, v, layers = _loaded(graph["graph"][0].as_py(), dim)
+            norms = np.linalg.norm(v, axis=1)
+            for ids, vectors in zip(asked["ids"], asked["vectors"]):
+                own, q = np.frombuffer(ids.as_buffer(), dtype="<i8"), np.frombuffer(vectors.as_buffer(), dtype="<f8").reshape(-1, dim)
                 for i in range(0, len(q), WAVE):
                     found = search(v, layers, q[i:i + WAVE], beam)
                     for j, nodes in enumerate(found):
@@ -274,12 +279,12 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
                         score = np.repeat(score, lens)
                         score, cand = score[cand != own[i + j]], cand[cand != own[i + j]]
                         top = np.lexsort((cand, -score))[:k]
-                        out += [(int(own[i + j]), c, s) for c, s in zip(cand[top].tolist(), score[top].tolist())]
-                cols = list(zip(*out)) or [(), (), ()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())],
-                    ["query_id", "vec_id", "score"])
-    found = pairs.mapInArrow(run, "query_id long, vec_id long, score double").distinct()
+                        for column, values in zip(cols, (np.full(len(top), own[i + j]), cand[top], score[top])):
+                            column.append(values)
+        return pa.table([pa.array(np.concatenate([np.empty(0, kind), *column])) for column, kind in zip(cols, ("<i8", "<i8", "<f8"))],
+                        names=["query_id", "vec_id", "score"])
+    found = (copies.groupBy(*keys).cogroup(sent.groupBy(*keys))
+             .applyInArrow(run, "query_id long, vec_id long, score double").distinct())
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return (found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))
