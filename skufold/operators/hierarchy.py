@@ -11,8 +11,9 @@ whatever the tree's depth, and sizes are prefix sums along chains, round by roun
 
 A node of at least ``min_cluster_size`` points is big. Where both children are big a
 cluster splits in two; otherwise the small child's points fall out. Pointers are
-followed by doubling. Only the selection by stability goes level by level, over the
-clusters of the condensed tree, from those without children up.
+followed by doubling. The selection by stability goes from the clusters without
+children up: in a task for a condensed tree of up to ``WHOLE_TREE`` clusters, which may
+have hundreds of levels, and level by level over the tables for a larger one.
 
 Equal vectors are one leaf with copies; such a leaf is a cluster of its own if it is
 big, which ends where its copies are no neighbours any more, at its core distance
@@ -21,6 +22,8 @@ big, which ends where its copies are no neighbours any more, at its core distanc
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -28,8 +31,11 @@ from pyspark.sql.window import Window
 from ..session import saved
 from .mst import contract, follow
 from .pivots import numbered
+from .sizing import cpu_partitions
 
 INF = float("inf")
+#: Clusters of a condensed tree that a task holds at once.
+WHOLE_TREE = 1 << 20
 
 
 def merge_tree(edges: DataFrame, leaves: DataFrame) -> DataFrame:
@@ -126,15 +132,29 @@ def condensed(tree: DataFrame, cores: DataFrame, min_cluster_size: int) -> tuple
             leaves.select("vid", "c"))
 
 
-def select_clusters(clusters: DataFrame, epsilon: float = 0.0) -> DataFrame:
-    """clusters -> (c, chosen): the selected cluster that c is or lies in, null if none.
-
-    Excess of mass: a cluster stays if its stability is at least that of the best
-    selection below it; a tree's top is never selected. Selected clusters that split
-    off below ``epsilon`` give way to the first one above them that did not, or to the
-    child of the top."""
-    inner = clusters.filter(F.col("parent").isNotNull())
-    below = clusters.filter(F.col("parent").isNotNull()).select(F.col("parent").alias("c")).distinct()
+def _best_of_tree(tree: pa.Table) -> pa.Table:
+    """(c, best) of all clusters of a tree but its top. A cluster's number is above those of
+    the clusters that split off from it."""
+    order = np.argsort(tree["c"].to_numpy())
+    c, parent, total = (tree[x].to_numpy()[order] for x in ("c", "parent", "stability"))
+    up, inside = np.searchsorted(c, parent), np.isin(parent, c)
+    up, inside, total = up.tolist(), inside.tolist(), total.tolist()
+    sums, best = [None] * len(c), [True] * len(c)
+    for i in range(len(c)):
+        if sums[i] is not None:
+            best[i] = total[i] >= sums[i]
+            total[i] = max(total[i], sums[i])
+        if inside[i]:
+            at = up[i]
+            sums[at] = total[i] if sums[at] is None else sums[at] + total[i]
+    return pa.table([pa.array(c), pa.array(best, pa.bool_())], names=["c", "best"])
+
+
+def _best_by_level(inner: DataFrame) -> DataFrame:
+    """(c, best) of clusters (c, parent, stability) of any number, level by level."""
+    if inner.isEmpty():
+        return inner.select("c", F.lit(True).alias("best"))
+    below = inner.select(F.col("parent").alias("c")).distinct()
     open_ = inner.join(below, "c", "left_semi").select("c", "parent", "stability").transform(saved)
     total = inner.join(below, "c", "left_anti").select(
         "c", "parent", F.col("stability").alias("total"), F.lit(True).alias("best")).transform(saved)
@@ -149,7 +169,24 @@ def select_clusters(clusters: DataFrame, epsilon: float = 0.0) -> DataFrame:
         total = total.union(ready).join(open_.select(F.col("c").alias("parent")), "parent", "left_semi").select(
             "c", "parent", "total", "best").transform(saved)
         done = done.union(ready)
-    best = done.select("c", "best").transform(saved)
+    return done.select("c", "best")
+
+
+def select_clusters(clusters: DataFrame, epsilon: float = 0.0) -> DataFrame:
+    """clusters -> (c, chosen): the selected cluster that c is or lies in, null if none.
+
+    Excess of mass: a cluster stays if its stability is at least that of the best
+    selection below it; a tree's top is never selected. Selected clusters that split
+    off below ``epsilon`` give way to the first one above them that did not, or to the
+    child of the top."""
+    inner = clusters.filter(F.col("parent").isNotNull())
+    tops = follow(clusters.select(F.col("c").alias("x"), F.col("parent").alias("to")))
+    whole = tops.groupBy("end").agg((F.count(F.lit(1)) <= WHOLE_TREE).alias("whole"))
+    named = inner.join(tops.withColumnRenamed("x", "c"), "c").join(whole, "end").select(
+        "c", "parent", "stability", "end", "whole").transform(saved)
+    small = (named.filter("whole").repartition(cpu_partitions(clusters.sparkSession), "end")
+             .groupBy("end").applyInArrow(_best_of_tree, "c long, best boolean"))
+    best = small.union(_best_by_level(named.filter("not whole").select("c", "parent", "stability"))).transform(saved)
     # the topmost best cluster on the way up, by doubling
     way = inner.join(best, "c").select(F.col("c").alias("x"), F.col("parent").alias("to"),
                                        F.when(F.col("best"), F.col("c")).alias("top")).transform(saved)
