@@ -63,3 +63,18 @@ def test_whole_and_large_brands_converge(spark, monkeypatch, whole):
         cluster_products(df, ClusterConfig(kmeans_max_iter=2, **cfg))
     with pytest.raises(Exception, match="not finite"):
         cluster_products(spark.createDataFrame(rows + [("a", 501, [float("nan")] * 3)], POINT), ClusterConfig(**cfg)).collect()
+
+
+@pytest.mark.parametrize("whole", [1 << 26, 0])
+def test_repeated_and_null_keys_give_one_centroid_each(spark, monkeypatch, whole):
+    monkeypatch.setattr(cluster, "_WHOLE_BYTES", whole)
+    v = np.random.default_rng(9).normal(size=(60, 2))
+    v[1] = v[0] - 1  # of one key, the lesser vector is the first
+    keys = [0, 0, None, None, *range(4, 60)]
+    df = spark.createDataFrame([("a", k, x.tolist()) for k, x in zip(keys, v)], POINT)
+    seeds = np.array([*sorted(v[2:4].tolist()), *sorted(v[:2].tolist()), v[4].tolist()])  # nulls come first
+    c, _ = _plain(v, seeds)
+    at = ((v[:, None] - c[None]) ** 2).sum(axis=2).argmin(axis=1)
+    cfg = ClusterConfig(method="kmeans", k=5, kmeans_n_init=1, kmeans_seeding="first")
+    got = {r.brandSKUId: r.cluster_id for r in cluster_products(df, cfg).collect() if r.brandSKUId}
+    assert got == {i: int(at[i]) for i in range(4, 60)}
